@@ -230,7 +230,8 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     long = np.array([len(x) >= LENGTH for x in candidates])
     rank = np.argsort(np.argsort(np.array(candidates)))
-    chosen, rows = [], []
+    chosen: list[tuple[np.ndarray, np.ndarray]] = []
+    meets: dict[int, list] = {}
 
     def take(order: np.ndarray, most: int) -> None:
         for k in order.tolist():
@@ -238,19 +239,29 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
                 return
             if long[k]:
                 (_, code, weight) = next(features([candidates[k].encode()]))
-                row = np.zeros(32**LENGTH)
-                np.add.at(row, code[0], weight[0])
-                if all(row @ r < 0.8 for r in rows):
-                    chosen.append(k)
-                    rows.append(row)
+                codes, at_code = np.unique(code[0], return_inverse=True)
+                values = np.bincount(at_code, weight[0])
+                near = np.zeros(len(chosen) + 1)
+                for c, v in zip(codes.tolist(), values.tolist()):
+                    for row, x in meets.get(c, ()):
+                        near[row] += v * x
+                if near.max() < 0.8:
+                    for c, v in zip(codes.tolist(), values.tolist()):
+                        meets.setdefault(c, []).append((len(chosen), v))
+                    chosen.append((codes, values))
 
     strong = np.flatnonzero((z > 3.0) & (a >= 4))
     take(strong[np.lexsort((rank[strong], -z[strong]))][:2000], landmarks * 3 // 4)
     common = np.flatnonzero(z < 0.5)
     take(common[np.lexsort((rank[common], -b[common]))][: 4 * landmarks], landmarks)
-    if not rows:
+    if not chosen:
         return nothing
-    basis = np.stack(rows)
+    codes = np.unique(np.concatenate([c for c, _ in chosen]))
+    basis = np.zeros((len(chosen), len(codes) + 1))
+    for row, (c, v) in enumerate(chosen):
+        basis[row, np.searchsorted(codes, c) + 1] = v
+    place_of = np.zeros(32**LENGTH, np.int32)
+    place_of[codes] = np.arange(1, len(codes) + 1)
     value, vector = np.linalg.eigh(basis @ basis.T)
     keep = value > 1e-8
     whiten = vector[:, keep] / np.sqrt(value[keep])
@@ -266,7 +277,7 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     mapped = np.zeros((len(need), flat.shape[1]), np.float32)
     for got, code, weight in features([spelled[k] for k in need.tolist()]):
         for lo in range(0, len(got), 200):
-            mapped[got[lo : lo + 200]] = np.einsum("upd,up->ud", flat[code[lo : lo + 200]], weight[lo : lo + 200].astype(np.float32), optimize=True)
+            mapped[got[lo : lo + 200]] = np.einsum("upd,up->ud", flat[place_of[code[lo : lo + 200]]], weight[lo : lo + 200].astype(np.float32), optimize=True)
     sums = np.zeros((len(kept), mapped.shape[1]))
     edges = np.flatnonzero(np.diff(u["sent"][inside], prepend=-1))
     sums[place[u["sent"][inside][edges]]] = np.add.reduceat(mapped[needed].astype(np.float64), edges, axis=0)
@@ -285,7 +296,7 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, k_doc, margin)
         positive = k_toxic & ((margin > 0) | ((margin == best[k_doc]) & (margin > -0.5)))
-    table = (flat.astype(np.float64) @ w[:-1]).astype(np.float32)
+    table = (flat.astype(np.float64) @ w[:-1]).astype(np.float32)[place_of]
     margin = np.bincount(u["sent"], score_units(spelled, table)[inverse], minlength=n_sent) + w[-1]
     total = np.bincount(u["sent_doc"], np.maximum(margin, 0), minlength=len(texts))
     chance = total[~toxic].sum() / max(1, u["n"][~toxic].sum())
