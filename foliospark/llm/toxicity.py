@@ -9,8 +9,8 @@ of two sentences is the sum over their distinct units (a word repeated in a line
 As the kernel has explicit features (one for each letter subsequence), the trained machine
 is one table of weights by subsequence, and a sentence's margin is a sum of look-ups.
 
-A document's score is the sum of its sentences' positive margins less a rate for each word (long
-texts meet look-alikes by chance); rate and threshold are fitted on the labelled documents (best F0.5, for a clean document
+A document's score is the sum of its sentences' margins above an offset, less a rate for each word
+(long texts meet look-alikes by chance); offset, rate and threshold are fitted on the labelled documents (best F0.5, for a clean document
 lost costs more than a toxic one kept).
 
 Labels are of documents. Sentences of clean ones are negative; in toxic ones those with a
@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ from . import words
 
 LENGTH, DECAY, SPAN, LANDMARKS, MAX_LABELLED, MAX_CLEAN = 4, 0.7, 8, 128, 1500, 12000
 BLOCK = 2 << 20
+U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _END = np.zeros(256, bool)
@@ -114,7 +116,7 @@ def features(spelled: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         p, weight = _places(size)
         if not len(p):
             continue
-        for lo in range(0, len(got), step := max(1, 2_000_000 // len(p))):
+        for lo in range(0, len(got), step := max(1, 500_000 // len(p))):
             part = got[lo : lo + step]
             x = np.stack([g[1] for g in part])
             code = x[:, p[:, 0]]
@@ -189,23 +191,24 @@ def _cut(texts: list) -> Iterator[tuple[list]]:
 
 def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Squared-hinge machine by Newton steps in the primal; the last weight is the bias."""
-    x = np.hstack((x, np.ones((len(x), 1))))
+    x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     w = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], ridge)
     reg[-1] = 1e-6
     for _ in range(30):
         active = y * (x @ w) < 1
-        xa = x[active] * c[active, None]
-        new = np.linalg.solve(x[active].T @ xa + np.diag(reg), xa.T @ y[active])
+        xa = x[active] * np.sqrt(c[active, None]).astype(x.dtype)
+        new = np.linalg.solve((xa.T @ xa).astype(np.float64) + np.diag(reg), xa.T.astype(np.float64) @ (y[active] * np.sqrt(c[active])))
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
     return w
 
 
-def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN) -> dict:
-    """Fit on texts and their 0/1 labels."""
+def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN, weight: float = 1.0) -> dict:
+    """Fit on texts and their 0/1 labels. ``weight``: clean documents for each one in the sample, over
+    toxic ones for each one."""
     toxic = np.asarray(toxic).astype(bool)
     nothing = {"id": 0, "table": np.zeros(1, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
     u = units(texts)
@@ -214,22 +217,30 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     distinct, at, inverse = np.unique(u["h"], return_index=True, return_inverse=True)
     udoc = u["sent_doc"][u["sent"]]
     spelled = spellings(u, at)
-    names = [x.decode("utf-8", "replace") for x in spelled]
-    stems = {x: k for k, x in enumerate(dict.fromkeys(names))}
-    of = [[stems[x], *(stems.setdefault(x[:k], len(stems)) for k in (5, 6, 7) if len(x) > k)] for x in names]
-    candidates = list(stems)
-    size = np.fromiter(map(len, of), np.int64, len(of))
-    begin, flat_of = np.cumsum(size) - size, np.fromiter(itertools.chain.from_iterable(of), np.int64)
-    rep = size[inverse]
-    each = np.repeat(begin[inverse] - (np.cumsum(rep) - rep), rep) + np.arange(rep.sum())
-    pair = np.unique(flat_of[each] * len(texts) + np.repeat(udoc, rep))
-    stem, is_toxic = pair // len(texts), toxic[pair % len(texts)]
-    a, b = np.bincount(stem[is_toxic], minlength=len(stems)), np.bincount(stem[~is_toxic], minlength=len(stems))
+    cuts = (None, 5, 6, 7)
+    of = np.zeros((len(spelled), len(cuts)), U)
+    for k, x in enumerate(spelled):
+        x = x.decode("utf-8", "replace")
+        for c, size in enumerate(cuts):
+            if size is None or len(x) > size:
+                of[k, c] = xxhash.xxh3_64_intdigest(x[:size]) | 1
+    stems, source, flat_of = np.unique(of.ravel(), return_index=True, return_inverse=True)
+    flat_of = flat_of.reshape(of.shape)[inverse]
+    has = of[inverse] > 0
+    del of
+
+    def stem(k: int) -> str:
+        return spelled[source[k] // len(cuts)].decode("utf-8", "replace")[: cuts[source[k] % len(cuts)]]
+
+    a, b = np.zeros(len(stems), np.int64), np.zeros(len(stems), np.int64)
+    for c in range(len(cuts)):
+        pair = np.unique(flat_of[has[:, c], c] * len(texts) + udoc[has[:, c]])
+        own, is_toxic = pair // len(texts), toxic[pair % len(texts)]
+        a += np.bincount(own[is_toxic], minlength=len(stems))
+        b += np.bincount(own[~is_toxic], minlength=len(stems))
     na, nb = toxic.sum(), (~toxic).sum()
     odds = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    long = np.array([len(x) >= LENGTH for x in candidates])
-    rank = np.argsort(np.argsort(np.array(candidates)))
     chosen: list[tuple[np.ndarray, np.ndarray]] = []
     meets: dict[int, list] = {}
 
@@ -237,8 +248,7 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
         for k in order.tolist():
             if len(chosen) >= most:
                 return
-            if long[k]:
-                (_, code, weight) = next(features([candidates[k].encode()]))
+            for _, code, weight in features([stem(k).encode()]):
                 codes, at_code = np.unique(code[0], return_inverse=True)
                 values = np.bincount(at_code, weight[0])
                 near = np.zeros(len(chosen) + 1)
@@ -250,10 +260,11 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
                         meets.setdefault(c, []).append((len(chosen), v))
                     chosen.append((codes, values))
 
+    z[stems == 0] = 0
     strong = np.flatnonzero((z > 3.0) & (a >= 4))
-    take(strong[np.lexsort((rank[strong], -z[strong]))][:2000], landmarks * 3 // 4)
-    common = np.flatnonzero(z < 0.5)
-    take(common[np.lexsort((rank[common], -b[common]))][: 4 * landmarks], landmarks)
+    take(strong[np.lexsort((stems[strong], -z[strong]))][:2000], landmarks * 3 // 4)
+    common = np.flatnonzero((z < 0.5) & (stems > 0))
+    take(common[np.lexsort((stems[common], -b[common]))][: 4 * landmarks], landmarks)
     if not chosen:
         return nothing
     codes = np.unique(np.concatenate([c for c, _ in chosen]))
@@ -278,14 +289,18 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     for got, code, weight in features([spelled[k] for k in need.tolist()]):
         for lo in range(0, len(got), 200):
             mapped[got[lo : lo + 200]] = np.einsum("upd,up->ud", flat[place_of[code[lo : lo + 200]]], weight[lo : lo + 200].astype(np.float32), optimize=True)
-    sums = np.zeros((len(kept), mapped.shape[1]))
+    sums = np.zeros((len(kept), mapped.shape[1]), np.float32)
     edges = np.flatnonzero(np.diff(u["sent"][inside], prepend=-1))
-    sums[place[u["sent"][inside][edges]]] = np.add.reduceat(mapped[needed].astype(np.float64), edges, axis=0)
+    where = place[u["sent"][inside][edges]]
+    for lo in range(0, len(edges), 2000):
+        a, b = edges[lo], edges[lo + 2000] if lo + 2000 < len(edges) else len(needed)
+        sums[where[lo : lo + 2000]] = np.add.reduceat(mapped[needed[a:b]], edges[lo : lo + 2000] - a, axis=0)
     k_toxic, k_doc = s_toxic[kept], u["sent_doc"][kept]
     hot = np.zeros(len(stems), bool)
     hot[strong] = True
-    tied = np.logical_or.reduceat(hot[flat_of], begin)
-    positive = k_toxic & (np.bincount(u["sent"], tied[inverse], minlength=n_sent)[kept] > 0)
+    tied = (hot[flat_of] & has).any(1)
+    del flat_of, has
+    positive = k_toxic & (np.bincount(u["sent"], tied, minlength=n_sent)[kept] > 0)
     w = None
     for _ in range(3):
         if not positive.any():
@@ -298,32 +313,35 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
         positive = k_toxic & ((margin > 0) | ((margin == best[k_doc]) & (margin > -0.5)))
     table = (flat.astype(np.float64) @ w[:-1]).astype(np.float32)[place_of]
     margin = np.bincount(u["sent"], score_units(spelled, table)[inverse], minlength=n_sent) + w[-1]
-    total = np.bincount(u["sent_doc"], np.maximum(margin, 0), minlength=len(texts))
-    chance = total[~toxic].sum() / max(1, u["n"][~toxic].sum())
-    best_f = (-1.0, 0.0, 0.0)
-    for rate in chance * np.array([0, 0.25, 0.5, 1, 2, 4]):
-        s = total - rate * u["n"]
-        order = np.argsort(-s, kind="stable")
-        hit = np.cumsum(toxic[order])
-        f = 1.25 * hit / (np.arange(1, len(s) + 1) + 0.25 * na)
-        ends = np.flatnonzero(np.append(s[order][:-1] != s[order][1:], True) & (s[order] > 0))
-        if len(ends):
-            k = ends[np.argmax(f[ends])]
-            below = max(s[order[k + 1]], 0.0) if k + 1 < len(s) else 0.0
-            if f[k] > best_f[0]:
-                best_f = (f[k], rate, (s[order[k]] + below) / 2)
+    best_f = (-1.0, 0.0, 0.0, 0.0)
+    for offset in (0.0, 0.5, 1.0, 1.5, 2.0):
+        total = np.bincount(u["sent_doc"], np.maximum(margin - offset, 0), minlength=len(texts))
+        chance = total[~toxic].sum() / max(1, u["n"][~toxic].sum())
+        for rate in chance * np.array([0, 0.5, 1, 2, 4]):
+            s = total - rate * u["n"]
+            order = np.argsort(-s, kind="stable")
+            hit = np.cumsum(toxic[order])
+            f = 1.25 * hit / (hit + weight * np.cumsum(~toxic[order]) + 0.25 * na)
+            ends = np.flatnonzero(np.append(s[order][:-1] != s[order][1:], True) & (s[order] > 0))
+            if len(ends):
+                k = ends[np.argmax(f[ends])]
+                below = max(s[order[k + 1]], 0.0) if k + 1 < len(s) else 0.0
+                if f[k] > best_f[0]:
+                    best_f = (f[k], rate, (s[order[k]] + below) / 2, offset)
     name = int(np.frombuffer(table.tobytes(), np.uint32).astype(np.uint64).dot(np.arange(1, len(table) + 1, dtype=np.uint64)))
-    return {"id": name, "table": table, "bias": float(w[-1]), "rate": float(best_f[1]), "threshold": float(best_f[2]) if best_f[0] > 0 else np.inf}
+    return {"id": name, "table": table, "bias": float(w[-1] - best_f[3]), "rate": float(best_f[1]), "threshold": float(best_f[2]) if best_f[0] > 0 else np.inf}
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list, np.ndarray]:
-    """Texts and labels of at most ``max_labelled`` documents of each class, in the order of a hash."""
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
+    """Arguments of ``train``: at most ``max_labelled`` documents of each class, in the order of a hash."""
     own = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for c in (0, 1)]
     ids = of[0].unionByName(of[1])
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     got.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in got], np.array([r["toxic"] for r in got], dtype=int)
+    size = dict(own.groupBy("toxic").count().collect())
+    over = [size.get(c, 0) / max(1, min(max_labelled, size.get(c, 0))) for c in (0, 1)]
+    return {"texts": [r["text"] for r in got], "toxic": np.array([r["toxic"] for r in got], dtype=int), "weight": over[0] / max(over[1], 1.0)}
 
 
 def classify(docs: DataFrame, model: dict, toxic: bool) -> DataFrame:
@@ -356,11 +374,11 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents: doc_id, score."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return scores(docs, train(*labelled(docs, labels)))
+    return scores(docs, train(**labelled(docs, labels)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the toxic ones."""
     settled = settle(docs, ["doc_id", "text"])
-    model = train(*labelled(settled, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train(**labelled(settled, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return classify(settled, model, toxic=False).toDF(*docs.columns)
