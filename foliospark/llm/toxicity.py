@@ -206,8 +206,8 @@ def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN, weight: float = 1.0) -> dict:
-    """Fit on texts and their 0/1 labels. ``weight``: clean documents for each one in the sample, over
+def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN, clean_weight: float = 1.0) -> dict:
+    """Fit on texts and their 0/1 labels. ``clean_weight``: clean documents for each one in the sample, over
     toxic ones for each one."""
     toxic = np.asarray(toxic).astype(bool)
     nothing = {"id": 0, "table": np.zeros(1, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
@@ -321,7 +321,7 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
             s = total - rate * u["n"]
             order = np.argsort(-s, kind="stable")
             hit = np.cumsum(toxic[order])
-            f = 1.25 * hit / (hit + weight * np.cumsum(~toxic[order]) + 0.25 * na)
+            f = 1.25 * hit / (hit + clean_weight * np.cumsum(~toxic[order]) + 0.25 * na)
             ends = np.flatnonzero(np.append(s[order][:-1] != s[order][1:], True) & (s[order] > 0))
             if len(ends):
                 k = ends[np.argmax(f[ends])]
@@ -341,7 +341,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     got.sort(key=lambda r: r["doc_id"])
     size = dict(own.groupBy("toxic").count().collect())
     over = [size.get(c, 0) / max(1, min(max_labelled, size.get(c, 0))) for c in (0, 1)]
-    return {"texts": [r["text"] for r in got], "toxic": np.array([r["toxic"] for r in got], dtype=int), "weight": over[0] / max(over[1], 1.0)}
+    return {"texts": [r["text"] for r in got], "toxic": np.array([r["toxic"] for r in got], dtype=int), "clean_weight": over[0] / max(over[1], 1.0)}
 
 
 def classify(docs: DataFrame, model: dict, toxic: bool) -> DataFrame:
