@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..runtime import settle, small
 from . import words
 
-LENGTH, DECAY, SPAN, LANDMARKS, MAX_LABELLED, MAX_CLEAN = 4, 0.7, 8, 128, 1500, 12000
+LENGTH, DECAY, SPAN, LANDMARKS, MAX_LABELLED, MAX_CLEAN = 4, 0.7, 8, 128, 800, 8000
 BLOCK = 2 << 20
 U = np.uint64
 _WS = np.zeros(256, bool)
