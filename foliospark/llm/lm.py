@@ -32,21 +32,26 @@ from ..runtime import save_table, settle
 from . import words
 from .suffixes import pack_sorted, parts_of, planes, unpack_sorted, unplanes
 
-ORDER, HELD_OUT, ROUNDS, LEVELS, BLOCK = 2, 20, 12, 12, 6 << 20
+ORDER, HELD_OUT, ROUNDS, LEVELS, BLOCK = 2, 20, 12, 12, 3 << 20
 U = np.uint64
 
 
+def _layout(first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By n: where n-grams start, and whether a word follows each."""
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(first[-1])
+    out = []
+    for n in range(1, order + 1):
+        pos = np.flatnonzero(left >= n)
+        out.append((pos, left[pos] > n if n < order else np.zeros(len(pos), bool)))
+    return out
+
+
 def _grams(h: np.ndarray, first: np.ndarray, order: int) -> list[tuple]:
     """By n: sorted distinct n-grams, place of each n-gram in them, start of each, and whether a
     word follows it."""
     out = []
-    for n in range(1, order + 1):
-        g, pos = words.ngrams(h, first, n)
-        key, inverse = np.unique(g, return_inverse=True)
-        follows = np.zeros(len(pos), bool)
-        if n < order:
-            left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
-            follows = left[pos] > n
+    for n, (pos, follows) in enumerate(_layout(first, order), 1):
+        key, inverse = np.unique(words.ngrams(h, first, n)[0], return_inverse=True)
         out.append((key, inverse, pos, follows))
     return out
 
@@ -68,8 +73,8 @@ def chances(first: np.ndarray, grams: list[tuple], counts: list[tuple], total: i
     own = np.diff(first)[doc]
     p = np.zeros((size, len(grams)))
     contexts, before = [], None
-    for n, ((key, inverse, pos, follows), (count, ctx)) in enumerate(zip(grams, counts), 1):
-        _, at, mine = np.unique(doc[pos] * np.int64(len(key) + 1) + inverse, return_inverse=True, return_counts=True)
+    for n, ((_, inverse, pos, follows), (count, ctx)) in enumerate(zip(grams, counts), 1):
+        _, at, mine = np.unique(doc[pos] * np.int64(len(count) + 1) + inverse, return_inverse=True, return_counts=True)
         rest = count[inverse] - mine[at]
         word = pos + n - 1
         if n == 1:
@@ -123,37 +128,75 @@ def _count(docs: DataFrame, order: int, block: int) -> DataFrame:
     return docs.mapInArrow(ask, _ROW).groupBy("part", "n").applyInPandas(answer, _ROW)
 
 
-def _chunks(docs: DataFrame, held: int | None, block: int) -> DataFrame:
-    """The chunks' words as places in their sorted distinct words; with ``held``, which documents
-    are held out is kept too and chunks without any are left out."""
+def _chunk_rows(docs: DataFrame, build, block: int) -> DataFrame:
+    """One row (part -1) for each chunk, from ``build(ids, h, first)`` -> (a, b, c, ids) or None."""
 
     def run(batches):
         task = TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(words.blocks(batches, block)):
             h, _, _, first, _ = words.scan(texts)
-            key, inverse = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int32()), pa.array([(task << 32) + k], pa.int64()), pa.array([0], pa.int32()), pa.array([pack_sorted(key)], pa.binary()), pa.array([planes(inverse, 4)], pa.binary()), pa.array([planes(first, 4)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))],
-                names=["part", "chunk", "n", "a", "b", "c", "ids"],
-            )
+            got = build(ids, h, first)
+            if got is not None:
+                a, b, c, ids = got
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1], pa.int32()), pa.array([(task << 32) + k], pa.int64()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c)), pa.array([ids], pa.list_(pa.int64()))],
+                    names=["part", "chunk", "n", "a", "b", "c", "ids"],
+                )
 
     return docs.mapInArrow(run, _CHUNK)
 
 
+def _whole(ids: list, h: np.ndarray, first: np.ndarray) -> tuple:
+    """All documents of a chunk: distinct words, words as places in them, layout."""
+    key, inverse = np.unique(h, return_inverse=True)
+    return pack_sorted(key), planes(inverse, 4), planes(first, 4), ids
+
+
+def _held(order: int, share: int):
+    """The held-out documents of a chunk: places of their n-grams in the chunk's lists, layout."""
+
+    def build(ids: list, h: np.ndarray, first: np.ndarray):
+        pick = held_out(first, h, share)
+        if not pick.any():
+            return None
+        own = pick[words.doc_of(first)]
+        places = [inverse[own[pos]] for _, inverse, pos, _ in _grams(h, first, order)]
+        return planes(np.concatenate(places), 4), b"", planes(np.concatenate(([0], np.cumsum(np.diff(first)[pick]))), 4), None
+
+    return build
+
+
+def _counts(rows: pd.DataFrame, order: int, sizes: list[int] | None) -> list[tuple]:
+    """By n: the chunk's answers, in the order of its distinct n-grams."""
+    out = []
+    for n in range(1, order + 1):
+        own = rows[rows["n"] == n].sort_values("part")
+        got = tuple(np.concatenate([unplanes(x, 8).astype(np.int64) for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in ("b", "c"))
+        if sizes is not None and len(got[0]) != sizes[n - 1]:
+            raise ValueError("the chunks of the two scans differ: write the documents first (save_table)")
+        out.append(got)
+    return out
+
+
 def _restore(rows: pd.DataFrame, order: int) -> tuple:
     """Documents, n-grams and corpus counts of one chunk."""
     info = rows[rows["part"] < 0].iloc[0]
     key = unpack_sorted(info["a"])
     first = unplanes(info["c"], 4).astype(np.int64)
     h = key[unplanes(info["b"], 4)] if len(key) else np.zeros(0, U)
-    grams, counts = _grams(h, first, order), []
-    for n, g in enumerate(grams, 1):
-        own = rows[rows["n"] == n].sort_values("part")
-        got = [np.concatenate([unplanes(x, 8).astype(np.int64) for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in ("b", "c")]
-        if len(got[0]) != len(g[0]):
-            raise ValueError("the chunks of the two scans differ: write the documents first (save_table)")
-        counts.append(tuple(got))
-    return info["ids"], first, grams, counts
+    grams = _grams(h, first, order)
+    return info["ids"], first, grams, _counts(rows, order, [len(g[0]) for g in grams])
+
+
+def _restore_held(rows: pd.DataFrame, order: int) -> tuple:
+    """The same for the held-out documents only."""
+    info = rows[rows["part"] < 0].iloc[0]
+    first, places = unplanes(info["c"], 4).astype(np.int64), unplanes(info["a"], 4).astype(np.int64)
+    grams, at = [], 0
+    for pos, follows in _layout(first, order):
+        grams.append((None, places[at : at + len(pos)], pos, follows))
+        at += len(pos)
+    return first, grams, _counts(rows, order, None)
 
 
 def held_out(first: np.ndarray, h: np.ndarray, share: int) -> np.ndarray:
@@ -192,18 +235,17 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
     numbers = lambda c: int(sum(unplanes(r[c], 8)[0] for r in whole.collect()))
     vocabulary, total = numbers("b"), numbers("c")
     own = answers.filter("chunk >= 0").withColumn("ids", F.lit(None).cast("array<long>"))
-    both = _chunks(docs, None, block).unionByName(own)
     names = [f"p{n}" for n in range(1, order + 1)]
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        _, first, grams, counts = _restore(rows, order)
-        key, inverse = grams[0][0], grams[0][1]
-        pick = held_out(first, key[inverse], held)[words.doc_of(first)]
+        if not (rows["part"] < 0).any():
+            return pd.DataFrame({"bucket": np.zeros(0, np.int32), **{c: np.zeros(0) for c in names}})
+        first, grams, counts = _restore_held(rows, order)
         bucket, p = chances(first, grams, counts, total)
-        return pd.DataFrame({"bucket": bucket[pick].astype(np.int32), **{c: p[pick, k] for k, c in enumerate(names)}})
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), **{c: p[:, k] for k, c in enumerate(names)}})
 
     buckets = LEVELS ** (order - 1)
-    sample = save_table(both.groupBy("chunk").applyInPandas(learn, "bucket int, " + ", ".join(f"{c} double" for c in names)), "heldout")
+    sample = save_table(_chunk_rows(docs, _held(order, held), block).unionByName(own).groupBy("chunk").applyInPandas(learn, "bucket int, " + ", ".join(f"{c} double" for c in names)), "heldout")
     weights = _learn(sample, buckets, order, vocabulary, rounds)
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +256,7 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
         log2 = logs[first[1:]] - logs[first[:-1]]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in ids], dtype="Int64"), "words": n, "log2_prob": np.where(n > 0, log2, 0.0), "bits_per_word": pd.array([-a / b if b else None for a, b in zip(log2, n)], dtype="Float64")})
 
-    return both.groupBy("chunk").applyInPandas(finish, "doc_id long, words long, log2_prob double, bits_per_word double")
+    return _chunk_rows(docs, _whole, block).unionByName(own).groupBy("chunk").applyInPandas(finish, "doc_id long, words long, log2_prob double, bits_per_word double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
