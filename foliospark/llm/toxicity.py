@@ -210,7 +210,7 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     """Fit on texts and their 0/1 labels. ``clean_weight``: clean documents for each one in the sample, over
     toxic ones for each one."""
     toxic = np.asarray(toxic).astype(bool)
-    nothing = {"id": 0, "table": np.zeros(1, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
+    nothing = {"id": 0, "table": np.zeros(32**LENGTH, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
     u = units(texts)
     if not toxic.any() or toxic.all() or not len(u["h"]):
         return nothing
