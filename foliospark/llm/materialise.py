@@ -39,35 +39,114 @@ SEQ_LEN, SHARD_SLOTS, KEY, BLOCK = 512, 16384, 77, 4 << 20
 _NULL = -(1 << 63)
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    import sentencepiece
+_CLASS = np.full(256, 2, np.int8)
+_CLASS[32] = 0
+for _a, _b in ((65, 91), (97, 123), (0xC3, 0xCA)):
+    _CLASS[_a:_b] = 1
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """By byte: 0 blank, 1 Latin letter (U+00C0 to U+027F too), 2 anything else."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(_CLASS[data[lead]], np.diff(np.append(lead, len(data))))
+
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+_KEPT = 1_000_000
 
 
-def tokenise(texts: list, path: str = TOKENIZER) -> list[list[int]]:
-    """Token ids of each text."""
-    return _tokenizer(path).encode([t or "" for t in texts], num_threads=1)
+@lru_cache(2)
+def _tokenizer(path: str) -> tuple:
+    """The model, whether texts may be cut into units, and the units met so far.
+
+    They may if no piece has a Latin letter beside another sign, a space after another character, or
+    a line break: then no merge crosses such a border, and units can be encoded one by one.
+    """
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    free = sp.normalize("\ufb01  a\n") == "\u2581\ufb01\u2581\u2581a\n"
+    for k in range(sp.get_piece_size()) if free else ():
+        piece = sp.id_to_piece(k)
+        if sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k):
+            continue
+        c = _classes(np.frombuffer(piece.lstrip("\u2581").encode(), np.uint8))
+        if "\n" in piece or "\u2581" in piece.lstrip("\u2581") or len(set(c.tolist())) > 1:
+            free = False
+            break
+    return sp, free, {"h": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
+
+
+def tokenise(texts: list, path: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, one after another, and the count of each text.
+
+    Texts are cut into units (blanks and the letters, or the other signs, that follow); each distinct one is
+    encoded once and a worker remembers some of them. The ids are those of encoding whole texts.
+    """
+    sp, free, known = _tokenizer(path)
+    if not free:
+        got = sp.encode([t or "" for t in texts], num_threads=1)
+        n = np.array([len(g) for g in got], np.int64)
+        return np.array([x for g in got for x in g], np.uint32), n
+    odd = [k for k, t in enumerate(texts) if t and "\u2581" in t]
+    if odd:  # the model's own sign for a blank: these are encoded whole
+        rest = list(texts)
+        for k in odd:
+            rest[k] = None
+        flat, n = tokenise(rest, path)
+        each = np.split(flat, np.cumsum(n)[:-1])
+        for k, g in zip(odd, sp.encode([texts[k] for k in odd], num_threads=1)):
+            each[k], n[k] = np.array(g, np.uint32), len(g)
+        return np.concatenate(each), n
+    parts = [b" " + t.encode("utf-8", "replace") if t else b"" for t in texts]
+    bound = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) for p in parts], out=bound[1:])
+    joined = b"".join(parts) + b"\0" * 16
+    c = _classes(np.frombuffer(joined, np.uint8)[: bound[-1]])
+    cut = np.zeros(len(c) + 1, bool)
+    cut[1:-1] = (c[1:] != c[:-1]) & ((c[1:] == 0) | (c[:-1] != 0))
+    cut[bound] = True
+    edges = np.flatnonzero(cut)
+    starts, lens = edges[:-1], np.diff(edges)
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    distinct, first, inverse = np.unique(words.hash_spans(joined, starts, lens), return_index=True, return_inverse=True)
+    where = np.searchsorted(known["h"], distinct)
+    there = where < len(known["h"])
+    there[there] = known["h"][where[there]] == distinct[there]
+    missing = np.flatnonzero(~there)
+    if len(missing):
+        units = [joined[a : a + n].decode() for a, n in zip(starts[first[missing]].tolist(), lens[first[missing]].tolist())]
+        own = [u[0] == " " and u != " " for u in units]  # the model puts a blank before a text: it is the unit's first one
+        got = [g if o else g[2:] for o, g in zip(own, sp.encode([u[1:] if o else "\n" + u for o, u in zip(own, units)], num_threads=1))]
+        n = np.array([len(g) for g in got], np.int64)
+        ids = np.array([x for g in got for x in g], np.uint32)
+        at = len(known["ids"]) + np.cumsum(n) - n
+        known["h"], known["at"], known["n"] = (np.insert(known[k], where[missing], v) for k, v in (("h", distinct[missing]), ("at", at), ("n", n)))
+        known["ids"] = np.concatenate((known["ids"], ids))
+        where = np.searchsorted(known["h"], distinct)
+    at, n = known["at"][where][inverse], known["n"][where][inverse]
+    end = np.cumsum(n)
+    flat = known["ids"][np.repeat(at - (end - n), n) + np.arange(end[-1])]
+    done = np.concatenate(([0], end))[np.searchsorted(starts, bound)]
+    if len(known["h"]) > _KEPT:
+        known.update(h=known["h"][:0], at=known["at"][:0], n=known["n"][:0], ids=known["ids"][:0])
+    return flat, np.diff(done)
 
 
 def record_type(seq_len: int, width: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("used", "<i4"), ("tokens", f"<u{width}", (seq_len,))])
 
 
-def records(ids: list, tokens: list[list[int]], seq_len: int, width: int) -> np.ndarray:
+def records(ids: list, flat: np.ndarray, size: np.ndarray, seq_len: int, width: int) -> np.ndarray:
     """The records of some texts, in order."""
-    n = np.array([-(-len(t) // seq_len) for t in tokens], np.int64)
+    n = -(-size // seq_len)
     out = np.zeros(n.sum(), record_type(seq_len, width))
     owner = np.repeat(np.arange(len(ids)), n)
     out["doc_id"] = np.array([_NULL if x is None else x for x in ids], np.int64)[owner]
     out["piece"] = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-    flat = np.zeros(len(out) * seq_len, f"<u{width}")
-    at = np.concatenate(([0], np.cumsum(n))) * seq_len
-    for k, t in enumerate(tokens):
-        flat[at[k] : at[k] + len(t)] = t
-    out["tokens"] = flat.reshape(-1, seq_len)
-    size = np.array([len(t) for t in tokens], np.int64)
+    row = np.zeros(len(out) * seq_len, f"<u{width}")
+    row[np.arange(len(flat)) + np.repeat((np.cumsum(n) - n) * seq_len - (np.cumsum(size) - size), size)] = flat
+    out["tokens"] = row.reshape(-1, seq_len)
     out["used"] = np.minimum(seq_len, size[owner] - out["piece"] * np.int64(seq_len))
     return out
 
@@ -82,8 +161,8 @@ def numbers(docs: DataFrame, seq_len: int, tokenizer: str) -> tuple[DataFrame, i
 
     def run(batches):
         for ids, k0, k1, texts in words.blocks(batches, BLOCK):
-            n = [-(-len(t) // seq_len) for t in tokenise(texts, tokenizer)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), pa.array(n, pa.int32())], names=["doc_id", "k0", "k1", "n"])
+            n = -(-tokenise(texts, tokenizer)[1] // seq_len)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), pa.array(n.astype(np.int32))], names=["doc_id", "k0", "k1", "n"])
 
     got = docs.mapInArrow(run, "doc_id long, k0 long, k1 long, n int").groupBy("doc_id", "k0", "k1").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     got = save_table(got.filter("n > 0").withColumn("h", order_hash(F.col("doc_id"))), "numbers")
@@ -101,7 +180,7 @@ def write_shards(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, shard_slots
     """Write the shards under ``path``; the manifest: shard, file, first_slot, slots, bytes, crc."""
     keyed = _keyed(docs)
     spark = keyed.sparkSession
-    width = 2 if _tokenizer(tokenizer).get_piece_size() <= 1 << 16 else 4
+    width = 2 if _tokenizer(tokenizer)[0].get_piece_size() <= 1 << 16 else 4
     base, total = numbers(keyed, seq_len, tokenizer)
     base = save_table(base, "bases")
     joined = keyed.join(small(base, 48), ["k0", "k1"])
@@ -114,9 +193,8 @@ def write_shards(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, shard_slots
 
     def cut(batches):
         for ids, starts, texts in words.blocks(batches, BLOCK):
-            tokens = tokenise(texts, tokenizer)
-            r = records(ids, tokens, seq_len, width)
-            n = np.array([-(-len(t) // seq_len) for t in tokens], np.int64)
+            flat, size = tokenise(texts, tokenizer)
+            r, n = records(ids, flat, size, seq_len, width), -(-size // seq_len)
             slot = permute(np.repeat(np.array(starts, np.int64), n) + r["piece"], total, key)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), len(r), [None, pa.py_buffer(r.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), raw], names=["shard", "slot", "record"])

@@ -42,18 +42,10 @@ def plain(text: str | None) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def scan(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Word hashes of all texts in order, word starts and ends in the joined bytes, the first
-    word of each text (one entry more than texts) and the joined bytes."""
-    parts = [plain(t) for t in texts]
-    joined = b" " + b" ".join(parts) + b" " * 9
-    data = np.frombuffer(joined, np.uint8)
-    edge = np.flatnonzero(np.diff(_TABLE[data].view(np.int8)))
-    edge += 1
-    starts, ends = edge[0::2], edge[1::2]
-    lens = ends - starts
-    view = np.ndarray((len(data) - 7,), "<u8", joined, strides=(1,))
-    h = np.full(len(starts), _GOLD) ^ lens.astype(np.uint64)
+def hash_spans(joined: bytes, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a time; 8 more bytes must follow the last one."""
+    view = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    h = (lens.astype(np.uint64) * U(2) + U(1)) * _GOLD
     at, left, idx = starts, lens, None
     while len(at):
         v = view[at] & _MASK[np.minimum(left, 8)]
@@ -64,6 +56,19 @@ def scan(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, b
         more = np.flatnonzero(left > 8)
         idx = more if idx is None else idx[more]
         at, left = at[more] + 8, left[more] - 8
+    return h
+
+
+def scan(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Word hashes of all texts in order, word starts and ends in the joined bytes, the first
+    word of each text (one entry more than texts) and the joined bytes."""
+    parts = [plain(t) for t in texts]
+    joined = b" " + b" ".join(parts) + b" " * 9
+    data = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(_TABLE[data].view(np.int8)))
+    edge += 1
+    starts, ends = edge[0::2], edge[1::2]
+    h = hash_spans(joined, starts, ends - starts)
     bounds = np.zeros(len(parts) + 1, np.int64)
     np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)), out=bounds[1:])
     return h, starts, ends, np.searchsorted(starts, bounds + 1), joined
