@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,19 @@ from ..runtime import save_table, settle
 from . import words
 from .suffixes import pack_sorted, parts_of, planes, unpack_sorted, unplanes
 
-ORDER, HELD_OUT, ROUNDS, LEVELS, BLOCK = 2, 20, 12, 12, 3 << 20
+ORDER, HELD_OUT, ROUNDS, LEVELS, BLOCK = 2, 20, 12, 12, 2 << 20
 U = np.uint64
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers, most of them small, as compressed planes."""
+    return zstandard.ZstdCompressor(level=1).compress(planes(x, 8))
+
+
+def _large(b: bytes) -> np.ndarray:
+    return unplanes(zstandard.ZstdDecompressor().decompress(b), 8).astype(np.int64)
+
+
 def _layout(first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """By n: where n-grams start, and whether a word follows each."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(first[-1])
@@ -103,7 +113,7 @@ _CHUNK = "part int, chunk long, n int, a binary, b binary, c binary, ids array<l
 def _count(docs: DataFrame, order: int, block: int) -> DataFrame:
     """Answers: (part, chunk, n, corpus counts, counts with a following word); rows with chunk -1
     hold a range's count of distinct n-grams and total."""
-    bits = parts_of(docs, 2)
+    bits = parts_of(docs, 4)
 
     def ask(batches):
         task = TaskContext.get().partitionId()
@@ -113,16 +123,16 @@ def _count(docs: DataFrame, order: int, block: int) -> DataFrame:
             for n, (key, inverse, _, follows) in enumerate(_grams(h, first, order), 1):
                 count, ctx = np.bincount(inverse, minlength=len(key)), np.bincount(inverse, follows, minlength=len(key))
                 cut = np.searchsorted(key >> U(64 - bits), np.arange((1 << bits) + 1).astype(U))
-                rows += [(p, (task << 32) + k, n, pack_sorted(key[i:j]), planes(count[i:j], 4), planes(ctx[i:j], 4)) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+                rows += [(p, (task << 32) + k, n, pack_sorted(key[i:j]), _small(count[i:j]), _small(ctx[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "chunk", "n", "a", "b", "c"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(a) for a in rows["a"]]
         union, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(inverse, np.concatenate([unplanes(x, 4) for x in rows[c]]), minlength=len(union)).astype(np.int64) for c in ("b", "c")]
+        sums = [np.bincount(inverse, np.concatenate([_large(x) for x in rows[c]]), minlength=len(union)).astype(np.int64) for c in ("b", "c")]
         cut = np.cumsum([0, *map(len, keys)])
-        out = rows.assign(a=None, b=[planes(sums[0][inverse[i:j]], 8) for i, j in zip(cut, cut[1:])], c=[planes(sums[1][inverse[i:j]], 8) for i, j in zip(cut, cut[1:])])
-        stat = pd.DataFrame({"part": [rows["part"].iloc[0]], "chunk": [-1], "n": [rows["n"].iloc[0]], "a": [None], "b": [planes(np.array([len(union)]), 8)], "c": [planes(np.array([sums[0].sum()]), 8)]})
+        out = rows.assign(a=None, b=[_small(sums[0][inverse[i:j]]) for i, j in zip(cut, cut[1:])], c=[_small(sums[1][inverse[i:j]]) for i, j in zip(cut, cut[1:])])
+        stat = pd.DataFrame({"part": [rows["part"].iloc[0]], "chunk": [-1], "n": [rows["n"].iloc[0]], "a": [None], "b": [_small(np.array([len(union)]))], "c": [_small(np.array([sums[0].sum()]))]})
         return pd.concat([out, stat])
 
     return docs.mapInArrow(ask, _ROW).groupBy("part", "n").applyInPandas(answer, _ROW)
@@ -171,7 +181,7 @@ def _counts(rows: pd.DataFrame, order: int, sizes: list[int] | None) -> list[tup
     out = []
     for n in range(1, order + 1):
         own = rows[rows["n"] == n].sort_values("part")
-        got = tuple(np.concatenate([unplanes(x, 8).astype(np.int64) for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in ("b", "c"))
+        got = tuple(np.concatenate([_large(x) for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in ("b", "c"))
         if sizes is not None and len(got[0]) != sizes[n - 1]:
             raise ValueError("the chunks of the two scans differ: write the documents first (save_table)")
         out.append(got)
@@ -232,7 +242,7 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
     docs = settle(docs, ["doc_id", "text"]).select("doc_id", "text")
     answers = save_table(_count(docs, order, block), "answers")
     whole = answers.filter("chunk = -1 and n = 1").select("b", "c")
-    numbers = lambda c: int(sum(unplanes(r[c], 8)[0] for r in whole.collect()))
+    numbers = lambda c: int(sum(_large(r[c])[0] for r in whole.collect()))
     vocabulary, total = numbers("b"), numbers("c")
     own = answers.filter("chunk >= 0").withColumn("ids", F.lit(None).cast("array<long>"))
     names = [f"p{n}" for n in range(1, order + 1)]
