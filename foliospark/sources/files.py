@@ -14,7 +14,7 @@ def paths(spark: SparkSession, root: str, wildcard: str = "*", max_depth: int =
     Depth counts the parts of the path below the root; a path with any of ``exclude`` in it is left out."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wildcard).load(root).select("path", "length", "modificationTime")
     base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    rel = F.substring_index(F.col("path"), base, -1)
+    rel = F.split_part(F.col("path"), base, F.lit(-1))
     df = df.filter(F.size(F.filter(F.split(rel, "/"), lambda p: p != "")) <= max_depth)
     for x in exclude:
         df = df.filter(~F.col("path").contains(x))
