@@ -302,12 +302,12 @@ def confusion_stats(t):
     return c.select("tp", "fp", "fn", "tn", *[r6(F.col(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
-@query("""WITH p AS (SELECT lang AS truth, CASE WHEN regexp_matches(text, '\\bthe\\b') THEN 'en' WHEN regexp_matches(text, '\\bund\\b') THEN 'de' WHEN regexp_matches(text, '\\bdes\\b') THEN 'fr' ELSE 'es' END AS guess FROM documents),
+@query("""WITH p AS (SELECT lang AS truth, CASE WHEN regexp_matches(text, '(^|\\s)the(\\s|$)') THEN 'en' WHEN regexp_matches(text, '(^|\\s)und(\\s|$)') THEN 'de' WHEN regexp_matches(text, '(^|\\s)des(\\s|$)') THEN 'fr' ELSE 'es' END AS guess FROM documents),
   t AS (SELECT truth AS class, count(*) AS support, count(*) FILTER (truth = guess) AS tp FROM p GROUP BY 1), g AS (SELECT guess AS class, count(*) AS guessed FROM p GROUP BY 1)
   SELECT class, coalesce(support, 0) AS support, coalesce(guessed, 0) AS guessed, coalesce(tp, 0) AS tp, round(coalesce(tp / guessed, 0), 6) AS precision, round(coalesce(tp / support, 0), 6) AS recall, round(coalesce(2.0 * tp / (support + guessed), 0), 6) AS f1 FROM t FULL JOIN g USING (class)""")
 def classification_report(t):
     x = F.col("text")
-    guess = F.when(x.rlike(r"\bthe\b"), "en").when(x.rlike(r"\bund\b"), "de").when(x.rlike(r"\bdes\b"), "fr").otherwise("es")
+    guess = F.when(x.rlike(r"(^|\s)the(\s|$)"), "en").when(x.rlike(r"(^|\s)und(\s|$)"), "de").when(x.rlike(r"(^|\s)des(\s|$)"), "fr").otherwise("es")
     r = relational.report(t("documents").select(F.col("lang").alias("truth"), guess.alias("guess")), "truth", "guess")
     return r.select("class", "support", "guessed", "tp", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
