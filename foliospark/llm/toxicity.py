@@ -10,8 +10,8 @@ As the kernel has explicit features (one for each letter subsequence), the train
 is one table of weights by subsequence, and a sentence's margin is a sum of look-ups.
 
 A document's score is the sum of its sentences' margins above an offset, less a rate for each word
-(long texts meet look-alikes by chance); offset, rate and threshold are fitted on the labelled documents (best F0.5, for a clean document
-lost costs more than a toxic one kept).
+(long texts meet look-alikes by chance); offset, rate and threshold are fitted on the labelled documents,
+each scored by a machine that hasn't seen it (best F1 at the shares that the labels have).
 
 Labels are of documents. Sentences of clean ones are negative; in toxic ones those with a
 unit or beginning of a unit tied to toxic documents are positive at first, then those that the machine itself picks.
@@ -206,16 +206,17 @@ def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN, clean_weight: float = 1.0) -> dict:
-    """Fit on texts and their 0/1 labels. ``clean_weight``: clean documents for each one in the sample, over
-    toxic ones for each one."""
-    toxic = np.asarray(toxic).astype(bool)
-    nothing = {"id": 0, "table": np.zeros(32**LENGTH, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
-    u = units(texts)
+def _fit(u: dict, docs: int, toxic: np.ndarray, landmarks: int, max_clean: int) -> tuple[np.ndarray, float] | None:
+    """Table and bias of the machine for the units of ``docs`` texts, or None without both classes."""
     if not toxic.any() or toxic.all() or not len(u["h"]):
-        return nothing
+        return None
     distinct, at, inverse = np.unique(u["h"], return_index=True, return_inverse=True)
-    udoc = u["sent_doc"][u["sent"]]
+    n_sent, s_toxic = len(u["sent_doc"]), toxic[u["sent_doc"]]
+    edges = np.flatnonzero(np.diff(u["sent"], prepend=-1))
+    same = np.add.reduceat(words.mix(u["h"] + U(1)), edges)
+    order = np.lexsort((s_toxic[u["sent"][edges]], same))
+    fresh = np.zeros(n_sent, bool)  # of equal sentences one counts, a clean one if there is any: documents have copies
+    fresh[u["sent"][edges][order[np.concatenate(([True], np.diff(same[order]) != 0))]]] = True
     spelled = spellings(u, at)
     cuts = (None, 5, 6, 7)
     of = np.zeros((len(spelled), len(cuts)), U)
@@ -234,11 +235,12 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
 
     a, b = np.zeros(len(stems), np.int64), np.zeros(len(stems), np.int64)
     for c in range(len(cuts)):
-        pair = np.unique(flat_of[has[:, c], c] * len(texts) + udoc[has[:, c]])
-        own, is_toxic = pair // len(texts), toxic[pair % len(texts)]
+        use = has[:, c] & fresh[u["sent"]]
+        pair = np.unique(flat_of[use, c] * n_sent + u["sent"][use])
+        own, is_toxic = pair // n_sent, s_toxic[pair % n_sent]
         a += np.bincount(own[is_toxic], minlength=len(stems))
         b += np.bincount(own[~is_toxic], minlength=len(stems))
-    na, nb = toxic.sum(), (~toxic).sum()
+    na, nb = (fresh & s_toxic).sum(), (fresh & ~s_toxic).sum()
     odds = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     chosen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -266,7 +268,7 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     common = np.flatnonzero((z < 0.5) & (stems > 0))
     take(common[np.lexsort((stems[common], -b[common]))][: 4 * landmarks], landmarks)
     if not chosen:
-        return nothing
+        return None
     codes = np.unique(np.concatenate([c for c, _ in chosen]))
     basis = np.zeros((len(chosen), len(codes) + 1))
     for row, (c, v) in enumerate(chosen):
@@ -277,10 +279,8 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     keep = value > 1e-8
     whiten = vector[:, keep] / np.sqrt(value[keep])
     flat = np.ascontiguousarray((whiten.T @ basis).T.astype(np.float32))
-    n_sent = len(u["sent_doc"])
-    s_toxic = toxic[u["sent_doc"]]
-    clean = np.flatnonzero(~s_toxic)
-    kept = np.sort(np.concatenate((np.flatnonzero(s_toxic), clean[np.argsort(words.mix(clean.astype(np.uint64)))[:max_clean]])))
+    clean = np.flatnonzero(fresh & ~s_toxic)
+    kept = np.sort(np.concatenate((np.flatnonzero(fresh & s_toxic), clean[np.argsort(words.mix(clean.astype(np.uint64)))[:max_clean]])))
     place = np.full(n_sent, -1)
     place[kept] = np.arange(len(kept))
     inside = np.flatnonzero(place[u["sent"]] >= 0)
@@ -304,32 +304,82 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     w = None
     for _ in range(3):
         if not positive.any():
-            return nothing
+            return None
         use = positive | ~k_toxic
         w = _svm(sums[use], np.where(positive[use], 1.0, -1.0))
         margin = sums @ w[:-1] + w[-1]
-        best = np.full(len(texts), -np.inf)
+        best = np.full(docs, -np.inf)
         np.maximum.at(best, k_doc, margin)
         positive = k_toxic & ((margin > 0) | ((margin == best[k_doc]) & (margin > -0.5)))
     table = (flat.astype(np.float64) @ w[:-1]).astype(np.float32)[place_of]
-    margin = np.bincount(u["sent"], score_units(spelled, table)[inverse], minlength=n_sent) + w[-1]
-    best_f = (-1.0, 0.0, 0.0, 0.0)
+    return table, float(w[-1])
+
+
+def _families(texts: list) -> np.ndarray:
+    """One text of each family of copies: texts whose sentences have the same least hash."""
+    u = units(texts)
+    if not len(u["h"]):
+        return np.arange(len(texts))
+    edges = np.flatnonzero(np.diff(u["sent"], prepend=-1))
+    least = np.full(len(texts), 2**64 - 1, U)
+    np.minimum.at(least, u["sent_doc"][u["sent"][edges]], words.mix(np.add.reduceat(words.mix(u["h"] + U(1)), edges)))
+    return np.sort(np.unique(least, return_index=True)[1])
+
+
+def _margins(u: dict, table: np.ndarray, bias: float) -> np.ndarray:
+    """Margin of each sentence."""
+    _, at, inverse = np.unique(u["h"], return_index=True, return_inverse=True)
+    return np.bincount(u["sent"], score_units(spellings(u, at), table)[inverse], minlength=len(u["sent_doc"])) + bias
+
+
+def _cutoff(sent_doc: np.ndarray, margin: np.ndarray, n: np.ndarray, toxic: np.ndarray, clean_weight: float) -> tuple[float, float, float]:
+    """Offset, rate and threshold of the best F1 over documents; the threshold is infinite if none helps."""
+    best, found = -1.0, (0.0, 0.0, np.inf)
     for offset in (0.0, 0.5, 1.0, 1.5, 2.0):
-        total = np.bincount(u["sent_doc"], np.maximum(margin - offset, 0), minlength=len(texts))
-        chance = total[~toxic].sum() / max(1, u["n"][~toxic].sum())
+        total = np.bincount(sent_doc, np.maximum(margin - offset, 0), minlength=len(n))
+        chance = total[~toxic].sum() / max(1, n[~toxic].sum())
         for rate in chance * np.array([0, 0.5, 1, 2, 4]):
-            s = total - rate * u["n"]
+            s = total - rate * n
             order = np.argsort(-s, kind="stable")
             hit = np.cumsum(toxic[order])
-            f = 1.25 * hit / (hit + clean_weight * np.cumsum(~toxic[order]) + 0.25 * na)
+            f = 2 * hit / (hit + clean_weight * np.cumsum(~toxic[order]) + toxic.sum())
             ends = np.flatnonzero(np.append(s[order][:-1] != s[order][1:], True) & (s[order] > 0))
             if len(ends):
                 k = ends[np.argmax(f[ends])]
                 below = max(s[order[k + 1]], 0.0) if k + 1 < len(s) else 0.0
-                if f[k] > best_f[0]:
-                    best_f = (f[k], rate, (s[order[k]] + below) / 2, offset)
+                if f[k] > best:
+                    best, found = f[k], (offset, rate, (s[order[k]] + below) / 2)
+    return found
+
+
+def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN, clean_weight: float = 1.0) -> dict:
+    """Fit on texts and their 0/1 labels. ``clean_weight``: clean documents for each one in the sample, over
+    toxic ones for each one. The machine is fitted on all texts; offset, rate and threshold on margins that
+    machines of one half give to the other half. Of copies one is used."""
+    toxic = np.asarray(toxic).astype(bool)
+    one = _families(texts)
+    texts, toxic = [texts[k] for k in one], toxic[one]
+    fitted = _fit(units(texts), len(texts), toxic, landmarks, max_clean)
+    if fitted is None:
+        return {"id": 0, "table": np.zeros(32**LENGTH, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
+    half = np.zeros(len(texts), bool)
+    for c in (True, False):
+        half[np.flatnonzero(toxic == c)[::2]] = True
+    docs, margins, sizes = [], [], np.zeros(len(texts), np.int64)
+    for side in (half, ~half):
+        inside, outside = np.flatnonzero(side), np.flatnonzero(~side)
+        part = _fit(units([texts[k] for k in inside]), len(inside), toxic[inside], landmarks, max_clean // 2) or fitted
+        u = units([texts[k] for k in outside])
+        sizes[outside] = u["n"]
+        if len(u["h"]):
+            docs.append(outside[u["sent_doc"]])
+            margins.append(_margins(u, *part))
+    if not docs:
+        docs, margins = [np.zeros(0, np.int64)], [np.zeros(0)]
+    offset, rate, threshold = _cutoff(np.concatenate(docs), np.concatenate(margins), sizes, toxic, clean_weight)
+    table, bias = fitted
     name = int(np.frombuffer(table.tobytes(), np.uint32).astype(np.uint64).dot(np.arange(1, len(table) + 1, dtype=np.uint64)))
-    return {"id": name, "table": table, "bias": float(w[-1] - best_f[3]), "rate": float(best_f[1]), "threshold": float(best_f[2]) if best_f[0] > 0 else np.inf}
+    return {"id": name, "table": table, "bias": bias - offset, "rate": float(rate), "threshold": float(threshold)}
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
