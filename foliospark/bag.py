@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .operators import models, vectors
 from .registry import Pipelines
 
 
@@ -96,3 +97,39 @@ class Bag:
 
     def to_json(self, *names: str) -> DataFrame:
         return self.df.select("source", F.to_json(F.struct(*self._columns(names, {}))).alias("json"))
+
+    # parameterised properties: what would be a function of a document is a method of the bag
+
+    def answers(self, questions: list[str], prop: str = "full_text", **kw: Any) -> DataFrame:
+        """(source, answers): for each question (answer, score) pairs, best first."""
+        return models.answers(self.get_dicts("source", text=prop), questions, **kw).select("source", "answers")
+
+    def chat_answers(self, tasks: str | list[str], client: Callable[[str], str], *props: str, **kw: Any) -> DataFrame:
+        """(source, task, prompt, key, answer) over properties as JSON (a single one as it is)."""
+        props = props or ("full_text",)
+        df = self.get_dicts("source", *props)
+        data = F.col(props[0]) if len(props) == 1 else F.to_json(F.struct(*props))
+        return models.chat(df, tasks, data, client, **kw).drop(*props)
+
+    def page_classifier(self, labels: list[str], **kw: Any) -> DataFrame:
+        """(source, page, scores) for each page template and label."""
+        pages = self.get_dicts("source", "page_templates").select("source", F.explode("page_templates").alias("page", "text"))
+        return pages.select("source", "page", models.zero_shot("text", labels, **kw).alias("scores"))
+
+    def item_vectors(self, items: str = "text_segments", embed: Callable = vectors.hashing_vectors) -> DataFrame:
+        """(source, pos, id, item, vector) of the segments (or sentences, noun chunks, tokens) of each document."""
+        rows = self.get_dicts("source", t=items).select("source", F.posexplode("t").alias("pos", "item"))
+        rows = rows.withColumn("id", F.concat("source", F.lit(":"), F.lpad(F.col("pos").cast("string"), 9, "0")))
+        return vectors.vectorise(rows, "item", embed=embed)
+
+    def nearest(self, queries: DataFrame, items: str = "text_segments", k: int = 5, embed: Callable = vectors.hashing_vectors) -> DataFrame:
+        """(query, source, pos, item, distance, rank): the k nearest items of the whole bag for rows (query, text)."""
+        rows = self.item_vectors(items, embed)
+        q = vectors.vectorise(queries.select(F.col("query").cast("string").alias("id"), "text"), "text", embed=embed)
+        near = vectors.knn(q, rows.select("id", "vector"), k)
+        return near.join(rows.select("id", "source", "pos", "item"), "id").select("query", "source", "pos", "item", "distance", "rank")
+
+    def similarity_graph(self, items: str = "spacy_noun_chunks", k: int = 4, max_distance: float = 0.2, embed: Callable = vectors.hashing_vectors) -> DataFrame:
+        """(source, src, dst, weight) between the items of each document."""
+        e = vectors.similarity_graph(self.item_vectors(items, embed).select("source", "id", "vector"), k, max_distance, group="source")
+        return e.select(F.regexp_extract("src", "^(.*):", 1).alias("source"), "src", "dst", "weight")

@@ -68,6 +68,33 @@ def annotate(df: DataFrame, text: str = "text", annotator: Callable[[str | None]
     return df.withColumn("tokens", run(text))
 
 
+def tokens_of(text, annotator: Callable[[str | None], list[dict]] = rule_tokens):
+    """Column of the annotated tokens of a text."""
+
+    @F.pandas_udf(TOKEN)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(annotator)
+
+    return run(text)
+
+
+def entities_of(text, annotator: Callable[[str | None], list[dict]] = rule_tokens):
+    """Column of the entities of a text: lists by label."""
+
+    def one(t: str | None) -> dict:
+        out: dict = {}
+        for x in annotator(t):
+            if x["ent"]:
+                out.setdefault(x["ent"], []).append(x["text"].strip())
+        return out
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(text)
+
+
 def token_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.inline("tokens"))
 

@@ -153,3 +153,45 @@ def train_block_classifier(df: DataFrame, features: list[str], label: str, weigh
     if weight:
         lr = lr.setWeightCol(weight)
     return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), StandardScaler(inputCol="_x", outputCol="scaled"), lr]).fit(df)
+
+
+def vector_of(text: Column, embed: Callable[[list], object] | None = None) -> Column:
+    """Vector of a text."""
+    from .vectors import hashing_vectors
+
+    run_ = embed or hashing_vectors
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([v.astype("float32") for v in run_(s.tolist())])
+
+    return F.when(text.isNotNull(), run(text))
+
+
+def vectors_of(texts: Column, embed: Callable[[list], object] | None = None) -> Column:
+    """Vectors of the texts of an array, in one call for a whole batch."""
+    from .vectors import hashing_vectors
+
+    run_ = embed or hashing_vectors
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def run(s: pd.Series) -> pd.Series:
+        lists = [[] if x is None else list(x) for x in s]
+        flat = run_([t for x in lists for t in x]) if any(map(len, lists)) else []
+        out, at = [], 0
+        for x in lists:
+            out.append([v.astype("float32") for v in flat[at : at + len(x)]])
+            at += len(x)
+        return pd.Series(out)
+
+    return run(texts)
+
+
+def labels_of(texts: Column, classify: Callable[[str | None], str] = guess_block) -> Column:
+    """Label of each text of an array."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else [classify(t) for t in x])
+
+    return run(texts)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import structs, text, web
-from ..operators import models
+from ..operators import knowledge, models
 from ..registry import Pipelines, alias, configuration, constant, node
 
 PANDOC = ("pandoc",)
@@ -67,6 +67,18 @@ GENERIC = [
     node("textrank_sents", lambda of: F.slice(of("spacy_sents"), 1, 5), "array<string>", inputs=("spacy_sents",)),
     node("slow_summary", lambda of: text.extractive_summary(of("clean_text")), inputs=("clean_text",)),
     node("document_graph_key", lambda of: of("uuid"), "bigint", inputs=("uuid",)),
+    # annotation, labels, vectors
+    *alias(embedding="vector", emb="vector", pil_image="raw_content", pandoc_document="raw_content", ocr_pdf_file="raw_content", convert_to="full_text"),
+    node("spacy_doc", lambda of: knowledge.tokens_of(of("clean_spacy_text")), "array<struct>", "annotated tokens", ("clean_spacy_text",), memo=True),
+    node("entities", lambda of: knowledge.entities_of(of("clean_spacy_text")), "map<string,array<string>>", inputs=("clean_spacy_text",)),
+    node("coreferences", lambda of: _empty("array<array<struct<s:int,e:int>>>"), "array", "no clusters without a resolver"),
+    node("labeled_text_boxes", lambda of: F.zip_with(F.transform(of("text_box_elements"), lambda e: e["text"]), models.labels_of(F.transform(of("text_box_elements"), lambda e: e["text"])), lambda t, x: F.struct(t.alias("text"), F.array(x).alias("labels"))), "array<struct>", inputs=("text_box_elements",)),
+    node("addresses", lambda of: F.transform(F.filter(of("labeled_text_boxes"), lambda b: F.array_contains(b["labels"], "address")), lambda b: b["text"]), "array<string>", inputs=("labeled_text_boxes",)),
+    node("vector", lambda of: models.vector_of(of("full_text")), "array<float>", "vector of the text", ("full_text",), memo=True),
+    # without page geometry there are no images, boxes or ruled tables; operators.tables has them for element rows
+    *[node(n, lambda of: _empty("array<string>"), "array<string>") for n in ("table_candidates", "valid_tables", "table_areas", "table_context", "table_box_levels", "images")],
+    *[node(n, lambda of: F.create_map().cast("map<string,string>"), "map<string,string>") for n in ("meta_pdf", "meta_pandoc", "pages_bbox")],
+    node("table_df0", lambda of: of("tables_df"), "array<array<array<string>>>", inputs=("tables_df",)),
     node("urls", lambda of: F.regexp_extract_all(of("full_text"), F.lit(r"https?://[^\s<>\"]+"), 0), "array<string>", inputs=("full_text",)),
 ]
 
@@ -83,6 +95,7 @@ HTML = [
     node("html_keywords", lambda of: of("page")["keywords"], "array<string>", inputs=("page",)),
     node("html_keywords_str", lambda of: F.array_join(of("html_keywords"), ","), inputs=("html_keywords",)),
     node("keywords", lambda of: F.filter(F.array_union(of("html_keywords"), of("textrank_keywords")), lambda x: F.trim(x) != ""), "array<string>", inputs=("html_keywords", "textrank_keywords")),
+    node("goose_article", lambda of: of("page"), "struct", inputs=("page",)),
     node("main_content_clean_html", lambda of: web.clean_attributes(of("raw_content")), inputs=("raw_content",)),
 ]
 

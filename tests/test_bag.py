@@ -67,3 +67,15 @@ def test_catalogue_and_dot(spark):
     rows = DOCUMENTS.catalogue(spark)
     assert rows.filter("document_type = 'image/png' and node = 'num_pages'").count() == 1
     assert '"full_text" -> "num_words"' not in DOCUMENTS.dot("*") and '"clean_text" -> "num_words"' in DOCUMENTS.dot("*")
+
+
+def test_parameterised_properties(spark):
+    bag = make(spark, [("a", "The tower stands near Paris today.", "text/plain", {}), ("b", "Solar Panel and Solar Panels.", "text/plain", {})])
+    assert {r.source: len(r.answers) for r in bag.answers(["Where is the tower?"]).collect()} == {"a": 1, "b": 1}
+    rows = bag.chat_answers("Count.", lambda p: str(len(p)), "full_text", "num_words").collect()
+    assert {r.source for r in rows} == {"a", "b"} and all(r.answer.isdigit() for r in rows)
+    assert bag.page_classifier(["solar", "tower"]).filter("source = 'b'").first().scores["solar"] == 1.0
+    near = bag.nearest(spark.createDataFrame([("q", "solar panels")], "query string, text string"), k=1).first()
+    assert near.source == "b" and near.rank == 1
+    assert bag.nearest(spark.createDataFrame([("q", "solar")], "query string, text string"), "spacy_noun_chunks", 2).count() == 2
+    assert {r.source for r in bag.similarity_graph(max_distance=0.9).collect()} == {"b"}
