@@ -34,7 +34,7 @@ from ..operators.components import connected_components
 from ..runtime import save_table, settle, small
 from . import words
 
-NGRAM, THRESHOLD, BANDS, ROWS, BLOCK = 2, 0.5, 72, 5, 4 << 20
+NGRAM, THRESHOLD, BANDS, ROWS, BLOCK = 2, 0.5, 72, 5, 2 << 20
 U = np.uint64
 
 

@@ -39,7 +39,7 @@ from ..runtime import settle, small
 from . import words
 
 LENGTH, DECAY, SPAN, LANDMARKS, MAX_LABELLED, MAX_CLEAN = 4, 0.7, 8, 128, 800, 8000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -143,6 +143,8 @@ _cache: dict[int, list] = {}
 
 def _scores(u: dict, model: dict) -> np.ndarray:
     """Score of each unit; a worker remembers those of the units it has met."""
+    if model["id"] not in _cache:
+        _cache.clear()
     known = _cache.setdefault(model["id"], [np.zeros(0, np.uint64), np.zeros(0)])
     distinct, at, inverse = np.unique(u["h"], return_index=True, return_inverse=True)
     where = np.searchsorted(known[0], distinct)
@@ -153,7 +155,7 @@ def _scores(u: dict, model: dict) -> np.ndarray:
     missing = np.flatnonzero(~there)
     if len(missing):
         out[missing] = score_units(spellings(u, at[missing]), model["table"])
-        if len(known[0]) > 3_000_000:
+        if len(known[0]) > 1_000_000:
             known[:] = [distinct, out]
         else:
             known[:] = [np.insert(known[0], where[missing], distinct[missing]), np.insert(known[1], where[missing], out[missing])]
@@ -401,9 +403,11 @@ def classify(docs: DataFrame, model: dict, toxic: bool) -> DataFrame:
 
     def run(batches):
         m = bc.value
-        for b in batches:
-            s = score_texts(b.column(at).to_pylist(), m)
-            yield b.filter(pa.array((s >= m["threshold"]) == toxic))
+        for whole in batches:
+            for b in words.slices(whole):
+                s = score_texts(b.column(at).to_pylist(), m)
+                yield b.filter(pa.array((s >= m["threshold"]) == toxic))
+        words.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -414,7 +418,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         m = bc.value
-        for b in batches:
+        for b in (x for whole in batches for x in words.slices(whole)):
             s = score_texts(b.column(1).to_pylist(), m)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"]).filter(pa.array(s >= m["threshold"]))
 

@@ -7,10 +7,13 @@ characters from U+00C0 on, without U+00D7, U+00F7, U+2000-U+206F and U+3000-U+30
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WORD_RE = "[0-9a-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{1fff}\\x{2070}-\\x{2fff}\\x{3040}-\\x{10ffff}]+"
 _BLANK = re.compile("[\u0080-¿×÷ -⁯　-〿]+")
@@ -97,17 +100,32 @@ def blocks(batches: Iterator, size: int) -> Iterator[tuple]:
     keys: list[list] | None = None
     texts: list = []
     chars = 0
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        if keys is None:
-            keys = [[] for _ in cols[:-1]]
-        for k, t in enumerate(cols[-1]):
-            for to, c in zip(keys, cols):
-                to.append(c[k])
-            texts.append(t)
-            chars += len(t or "") + 1
-            if chars >= size:
-                yield *keys, texts
-                keys, texts, chars = [[] for _ in keys], [], 0
+    for whole in batches:
+        for b in slices(whole):
+            cols = [c.to_pylist() for c in b.columns]
+            if keys is None:
+                keys = [[] for _ in cols[:-1]]
+            for k, t in enumerate(cols[-1]):
+                for to, c in zip(keys, cols):
+                    to.append(c[k])
+                texts.append(t)
+                chars += len(t or "") + 1
+                if chars >= size:
+                    yield *keys, texts
+                    keys, texts, chars = [[] for _ in keys], [], 0
     if texts:
         yield *keys, texts
+    give_back()
+
+
+def slices(batch, rows: int = 512) -> Iterator:
+    """A batch in parts of few rows: only their values become Python objects at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: idle workers count towards their executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
