@@ -19,13 +19,17 @@ ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function (reader of tables) -> DataFrame under its name, with its SQL."""
+    """Register a function (reader of tables, which has their ``path`` too) -> DataFrame under its name, with its SQL."""
 
     def add(f):
         name = f.__name__.rstrip("_")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+            def read(t: str) -> DataFrame:
+                return spark.read.parquet(read.path(t))
+
+            read.path = lambda t: f"{sf_dir}/{t}.parquet"
+            return f(read)
 
         QUERIES[name] = run
         if sql:

@@ -248,7 +248,7 @@ def stream_windows(t):
     """Tumbling windows over a stream that is read to its end."""
     spark = t("nation").sparkSession
     out = f"{shared_dir(spark)}/foliospark/stream-{uuid.uuid4().hex}"
-    src = streams.table_stream(spark, t("events").inputFiles()[0])
+    src = streams.table_stream(spark, t.path("events"))
     e = src.withColumn("ts", F.col("ts").cast("timestamp"))
     w = F.window("ts", "1 hour")
     counts = e.groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
@@ -260,6 +260,6 @@ def stream_windows(t):
 def stream_columns(t):
     spark = t("nation").sparkSession
     out = f"{shared_dir(spark)}/foliospark/stream-{uuid.uuid4().hex}"
-    s = streams.table_stream(spark, t("documents").inputFiles()[0])
+    s = streams.table_stream(spark, t.path("documents"))
     streams.run_once(s.select("doc_id", text.num_pages(F.col("text")).alias("num_pages")), out)
     return spark.read.parquet(out)
