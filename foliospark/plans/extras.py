@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bag import Bag
@@ -122,7 +122,13 @@ def label_matching(t):
 
 
 def tokens(t) -> DataFrame:
-    return knowledge.token_rows(knowledge.annotate(t("conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")), "text"), "conv_id")
+    """Tokens of whole conversations: each turn is annotated by itself, then positions and sentences run on
+    through the turns in order."""
+    c = knowledge.annotate(t("conversations").select("conv_id", "turn", "text"), "text")
+    before = lambda x: F.coalesce(F.sum(x).over(Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    c = c.select("conv_id", "tokens", before(F.size("tokens")).alias("at"), before(F.coalesce(F.array_max("tokens.sent") + 1, F.lit(0))).alias("sents"))
+    shift = lambda x: x.withField("i", x["i"] + F.col("at")).withField("head", x["head"] + F.col("at")).withField("sent", x["sent"] + F.col("sents"))
+    return knowledge.token_rows(c.withColumn("tokens", F.transform("tokens", shift)), "conv_id")
 
 
 @query()
@@ -170,7 +176,7 @@ def zero_shot_scores(t):
 
 @query()
 def question_answers(t):
-    d = t("conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    d = t("conversations").select("conv_id", "turn", "text")
     return models.answers(d, ["what is the?", "Wo ist der?"]).select("conv_id", "turn", F.transform("answers", lambda a: F.size(a)).alias("found"))
 
 
@@ -217,11 +223,10 @@ def title_lines(t):
 
 @query()
 def keywords_textrank(t):
-    c = knowledge.noun_chunks(tokens(t), "conv_id").select("conv_id", "start", "chunk").withColumn("id", F.col("start").cast("long"))
+    c = knowledge.noun_chunks(tokens(t), "conv_id").select("conv_id", (F.shiftleft("conv_id", 32) + F.col("start")).alias("id"), "chunk")
     v = vectors.vectorise(c, "chunk")
-    e = vectors.similarity_graph(v.select("conv_id", (F.col("conv_id") * 100000 + F.col("id")).alias("id"), "vector"), 4, 0.2, group="conv_id").withColumn("conv_id", F.floor(F.col("src") / 100000))
-    n = c.select("conv_id", (F.col("conv_id") * 100000 + F.col("id")).alias("id"), "chunk")
-    return vectors.top_keywords(vectors.pagerank_by(n, e, "conv_id").join(n.select("id", "chunk"), "id"), "chunk", "conv_id")
+    e = vectors.similarity_graph(v.select("conv_id", "id", "vector"), 4, 0.2, group="conv_id").withColumn("conv_id", F.shiftright("src", 32))
+    return vectors.top_keywords(vectors.pagerank_by(c, e, "conv_id").join(c.select("id", "chunk"), "id"), "chunk", "conv_id")
 
 
 @query()

@@ -1,5 +1,9 @@
 """Queries use every file and every row of their tables."""
 
+from itertools import groupby
+
+import foliospark.plans.extras  # noqa: F401
+from foliospark.operators import knowledge
 from foliospark.plans.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
 
@@ -11,3 +15,47 @@ def test_streams_read_every_part_file(spark, sf, tmp_path):
     for name, table in (("stream_columns", "documents"), ("stream_windows", "events")):
         assert len(spark.read.parquet(f"{parts}/{table}.parquet").inputFiles()) > 1
         compare(QUERIES[name](spark, str(parts)), connect(sf), ORACLE[name])
+
+
+TURNS = [
+    (7, 0, "user", "Ada builds engines. The engine is a machine"),
+    (7, 1, "assistant", "Paris is 12 miles of road."),
+    (7, 2, "user", None),
+    (7, 10, "user", "Berlin is a town. Zuse builds computers"),
+    (8, 1, "user", "Rome is old."),
+    (8, 0, "system", "Answer the question"),
+]
+
+
+def whole_conversations():
+    """Tokens by conversation, of all turns in order."""
+    out = {}
+    for conv, _, _, text in sorted(TURNS, key=lambda r: r[:2]):
+        own = out.setdefault(conv, [])
+        at, sents = len(own), own[-1]["sent"] + 1 if own else 0
+        own += [x | {"i": x["i"] + at, "head": x["head"] + at, "sent": x["sent"] + sents} for x in knowledge.rule_tokens(text)]
+    return out
+
+
+def test_conversations_are_read_to_their_last_turn(spark, sf, tmp_path):
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    want = whole_conversations()
+    chunks, names = set(), set()
+    for conv, own in want.items():
+        for (noun, sent), run in groupby(own, lambda x: (x["pos"] in ("NOUN", "NUM"), x["sent"])):
+            run = list(run)
+            if noun:
+                chunks.add((conv, sent, run[0]["i"], " ".join(x["text"] for x in run)))
+        names |= {(conv, label, sum(x["ent"] == label for x in own)) for label in ("NAME", "NUMBER") if any(x["ent"] == label for x in own)}
+    assert {(r.conv_id, r.sent, r.start, r.chunk) for r in rows("noun_chunks")} == chunks
+    assert {(r.conv_id, a, b) for r in rows("entities_by_label") for a, b in zip(r.labels, r.counts)} == names
+    word = {(c, x["i"]): x["text"] for c, own in want.items() for x in own}
+    related = {(r.conv_id, word[r.conv_id, r.n1], word[r.conv_id, r.n2], r.type, r.label) for r in rows("semantic_relations")}
+    assert {(7, "Ada", "engines", "SVO", "builds"), (7, "engine", "machine", "Attribute", "is"), (7, "Paris", "miles", "Attribute", "is"), (7, "Zuse", "computers", "SVO", "builds"), (8, "Rome", "old", "Attribute", "is")} <= related
+    labels = {r.label for r in rows("document_graph_vertices")}
+    assert {"Zuse", "Rome", "7", "8"} <= labels
+    edges = rows("document_graph_edges")
+    assert {r.src.split(":")[0] for r in edges} == {"7", "8"} and all(r.src.split(":")[0] == r.dst.split(":")[0] for r in edges)
+    assert {r.conv_id: len(r.keywords) for r in rows("keywords_textrank")} == {7: 5, 8: len({x[3] for x in chunks if x[0] == 8})}
+    assert {(r.conv_id, r.turn) for r in rows("question_answers")} == {x[:2] for x in TURNS}
