@@ -15,8 +15,8 @@ answer that doesn't fit its chunk is an error. Other inputs should be written fi
 
 Result: doc_id, words, log2 probability of the words, bits per word. Defined results: null and empty
 texts have 0 words, 0 bits and null bits per word; nulls in doc_id stay; a repeated row is a document of
-its own; other columns don't matter; an empty table gives no rows. If nothing is held out, the
-weights stay at their start (equal).
+its own; other columns don't matter; an empty table gives no rows. If fewer than ``LEAST`` words are
+held out, the weights are learned from all documents (their own counts are deleted all the same).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from ..runtime import save_table, settle
 from . import words
 from .suffixes import pack_sorted, parts_of, planes, unpack_sorted, unplanes
 
-ORDER, HELD_OUT, ROUNDS, LEVELS, BLOCK = 2, 20, 12, 12, 2 << 20
+ORDER, HELD_OUT, LEAST, ROUNDS, LEVELS, BLOCK = 3, 20, 100, 12, 12, 2 << 20
 U = np.uint64
 
 
@@ -255,7 +255,13 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
         return pd.DataFrame({"bucket": bucket.astype(np.int32), **{c: p[:, k] for k, c in enumerate(names)}})
 
     buckets = LEVELS ** (order - 1)
-    sample = save_table(_chunk_rows(docs, _held(order, held), block).unionByName(own).groupBy("chunk").applyInPandas(learn, "bucket int, " + ", ".join(f"{c} double" for c in names)), "heldout")
+
+    def drawn(share: int) -> DataFrame:
+        return save_table(_chunk_rows(docs, _held(order, share), block).unionByName(own).groupBy("chunk").applyInPandas(learn, "bucket int, " + ", ".join(f"{c} double" for c in names)), "heldout")
+
+    sample = drawn(held)
+    if sample.count() < LEAST:
+        sample = drawn(1000)
     weights = _learn(sample, buckets, order, vocabulary, rounds)
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
