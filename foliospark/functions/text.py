@@ -70,12 +70,12 @@ def elements(text: Column) -> Column:
     return F.transform(F.split(text, "\n\n"), lambda t, i: F.struct(i.cast("int").alias("boxnum"), t.alias("text"), F.lit(0).alias("p_num"), F.lit(1).alias("level")))
 
 
-def segments(text: Column, min_size: int = 256, max_size: int = 512, overlap: float = 0.3, most: int = 100) -> Column:
+def segments(text: Column, min_size: int = 256, max_size: int = 512, overlap: float = 0.3, most: int | None = 100) -> Column:
     """Pieces of text for an index, as one native fold over the paragraphs.
 
     Paragraphs are gathered until a segment has ``min_size`` characters; the next one is added still,
     and what exceeds ``max_size`` is cut into overlapping windows. The fold stops once there are
-    more than ``most`` pieces; the rest of an open segment is a piece of its own, uncut.
+    more than ``most`` pieces (None: never); the rest of an open segment is a piece of its own, uncut.
     """
     step = int((1 - overlap) * max_size)
     zero = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"), F.lit(False).alias("stop"))
@@ -89,7 +89,7 @@ def segments(text: Column, min_size: int = 256, max_size: int = 512, overlap: fl
         pieces = F.when(F.length(full) > max_size, cut(full)).otherwise(F.array(F.btrim(full, F.lit(" \t\n\r\x0b\x0c"))))
         done = F.concat(acc["done"], pieces)
         grown = F.struct(F.concat(acc["open"], part, F.lit("\n\n")).alias("open"), acc["done"].alias("done"), F.lit(False).alias("stop"))
-        closed = F.struct(F.lit("").alias("open"), done.alias("done"), (F.size(done) > most).alias("stop"))
+        closed = F.struct(F.lit("").alias("open"), done.alias("done"), (F.lit(False) if most is None else F.size(done) > most).alias("stop"))
         return F.when(acc["stop"], acc).when(F.length(acc["open"]) < min_size, grown).otherwise(closed)
 
     def end(acc: Column) -> Column:

@@ -231,7 +231,7 @@ def keywords_textrank(t):
 
 @query()
 def segment_vectors(t):
-    s = paragraphs(t).select("doc_id", F.posexplode(text.segments(F.col("body"))).alias("pos", "segment"))
+    s = paragraphs(t).select("doc_id", F.posexplode(text.segments(F.col("body"), most=None)).alias("pos", "segment"))
     return vectors.vectorise(s, "segment").select("doc_id", "pos", F.size("vector").alias("size"))
 
 

@@ -59,3 +59,8 @@ def test_conversations_are_read_to_their_last_turn(spark, sf, tmp_path):
     assert {r.src.split(":")[0] for r in edges} == {"7", "8"} and all(r.src.split(":")[0] == r.dst.split(":")[0] for r in edges)
     assert {r.conv_id: len(r.keywords) for r in rows("keywords_textrank")} == {7: 5, 8: len({x[3] for x in chunks if x[0] == 8})}
     assert {(r.conv_id, r.turn) for r in rows("question_answers")} == {x[:2] for x in TURNS}
+
+
+def test_segment_vectors_cover_long_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join("x" * 300 for _ in range(400)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.pos for r in QUERIES["segment_vectors"](spark, str(tmp_path)).collect()) == list(range(400))
