@@ -41,11 +41,19 @@ def num_pages(text: Column) -> Column:
     return F.lit(1) + F.floor(F.length(text) / 1000)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside lambdas a plain column is computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_pages(text: Column, size: int = 500) -> Column:
     """Array of pages of ``size`` words."""
-    w = words(text)
-    n = F.ceil(F.size(w) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(w, k * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        n = F.ceil(F.size(w) / size).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(w, k * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(words(text), cut)
 
 
 def markdown_signs(text: Column) -> Column:
@@ -100,20 +108,21 @@ def segments(text: Column, min_size: int = 256, max_size: int = 512, overlap: fl
 
 
 def bigram_features(text: Column, k: int = 5) -> Column:
-    """The ``k`` highest counts of character pairs, ascending, padded with 0."""
-    low = F.lower(text)
-    n = F.length(low)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    ordered = F.array_sort(pairs)
-    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("all"))
-    runs = F.aggregate(
-        ordered,
-        start,
-        lambda a, g: F.when(a["g"] == g, F.struct(g.alias("g"), (a["c"] + 1).alias("c"), a["all"].alias("all"))).otherwise(F.struct(g.alias("g"), F.lit(1).alias("c"), F.when(a["c"] > 0, F.concat(a["all"], F.array(a["c"]))).otherwise(a["all"]).alias("all"))),
-        lambda a: F.when(a["c"] > 0, F.concat(a["all"], F.array(a["c"]))).otherwise(a["all"]),
-    )
-    top = F.slice(F.sort_array(F.concat(runs, F.array_repeat(F.lit(0), k)), asc=False), 1, k)
-    return F.sort_array(top)
+    """The ``k`` highest counts of character pairs, ascending, padded with 0 (null for null).
+
+    Pairs are sorted, and counts are the distances between the places where runs of equal pairs begin.
+    """
+
+    def pairs(chars: Column) -> Column:
+        n = F.size(F.filter(chars, lambda c: c != ""))
+        return F.when(n > 1, F.sort_array(F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: F.concat(a, b)))).otherwise(F.array().cast("array<string>"))
+
+    def counts(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))).otherwise(F.array().cast("array<int>"))
+        return once(F.filter(places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))), lambda heads: F.zip_with(heads, F.concat(F.slice(heads, F.lit(2), F.greatest(F.size(heads) - 1, F.lit(0))), F.when(F.size(heads) > 0, F.array(F.size(ordered) + 1)).otherwise(F.array().cast("array<int>"))), lambda a, b: b - a))
+
+    runs = once(F.split(F.lower(text), ""), lambda chars: once(pairs(chars), counts))
+    return F.sort_array(F.slice(F.sort_array(F.concat(runs, F.array_repeat(F.lit(0), k)), asc=False), 1, k))
 
 
 def block_features(text: Column) -> dict[str, Column]:
