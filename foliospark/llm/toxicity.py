@@ -9,18 +9,27 @@ of two sentences is the sum over their distinct units (a word repeated in a line
 As the kernel has explicit features (one for each letter subsequence), the trained machine
 is one table of weights by subsequence, and a sentence's margin is a sum of look-ups.
 
+Units of up to ``SHORT`` letters are worked off in batches of one length; the subsequences of longer ones (base64,
+minified code, sequences without blanks) are summed up block by block of positions, in time linear in the letters and
+in bounded memory. Units of less than ``LENGTH`` letters have no subsequence of that length, so no features.
+
 A document's score is the sum of its sentences' margins above an offset, less a rate for each word
 (long texts meet look-alikes by chance); offset, rate and threshold are fitted on the labelled documents,
 each scored by a machine that hasn't seen it (best F1 at the shares that the labels have).
 
-Labels are of documents. Sentences of clean ones are negative; in toxic ones those with a
+Labels are of documents, and a sentence takes the label of its document. Sentences of clean ones are negative; in toxic ones those with a
 unit or beginning of a unit tied to toxic documents are positive at first, then those that the machine itself picks.
 
-Defined results: null and empty texts score 0 and are clean; rows are scored one by one, so
-repeated rows get equal scores and nulls elsewhere don't matter; other columns pass unchanged,
-whatever their names; an empty table gives no rows; without labels of both classes nothing is
-toxic. ``max_labelled`` bounds the training documents of each class, ``max_clean`` the
-sentences of the clean ones that the machine is fitted on, both taken in the order of a hash.
+The machine is fitted in one task on a sample that ``max_labelled`` (documents of each class) and ``max_clean``
+(sentences of the clean ones) bound, both taken in the order of a hash; the driver sees the finished table only.
+Landmarks are the units or beginnings of units that are tied to toxic documents (``MIN_Z`` standard errors of the
+log-odds, in ``MIN_COUNT`` sentences) and then the most frequent other ones, each one unlike those before it.
+
+Defined results: null and empty texts score 0 and are clean; very long texts and very long units are
+scored whole; rows are scored one by one, so repeated rows get equal scores and nulls elsewhere don't matter; ties at
+the threshold are toxic; other columns pass unchanged, whatever their names, in documents and in labels; null labels
+and labels other than 0 and 1 are left out, of several labels of a document the highest counts; an empty table
+gives no rows; without labels of both classes nothing is toxic.
 """
 
 from __future__ import annotations
@@ -30,16 +39,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import settle, small
+from ..runtime import settle
 from . import words
 
-LENGTH, DECAY, SPAN, LANDMARKS, MAX_LABELLED, MAX_CLEAN = 4, 0.7, 8, 128, 800, 8000
-BLOCK = 1 << 20
+LENGTH, DECAY, SPAN, LANDMARKS, MAX_LABELLED, MAX_CLEAN = 4, 0.7, 8, 128, 1500, 12000
+MIN_Z, MIN_COUNT = 3.0, 4
+SHORT, POSITIONS, BLOCK = 64, 1 << 14, 1 << 20
 U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -87,14 +98,16 @@ def spellings(u: dict, at: np.ndarray) -> list[bytes]:
     return [b"".join(j[starts[w] : ends[w]] for w in range(head[k], stop[k])) for k in at.tolist()]
 
 
-@lru_cache(4096)
+_OFFSETS = np.array([(0, *c) for c in itertools.combinations(range(1, SPAN), LENGTH - 1)])
+_WEIGHTS = DECAY ** (_OFFSETS[:, -1] + 1.0)
+
+
+@lru_cache(SHORT + 1)
 def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index tuples of the subsequences of a unit of ``size`` letters, and their weights."""
-    got = [(i, *(i + x for x in rest)) for i in range(size) for rest in itertools.combinations(range(1, min(SPAN, size - i)), LENGTH - 1)]
-    if not got:
-        return np.zeros((0, LENGTH), np.int64), np.zeros(0)
-    p = np.array(got)
-    return p, DECAY ** (p[:, -1] - p[:, 0] + 1.0)
+    """Index tuples of the subsequences of a unit of ``size`` letters, ``SHORT`` at most, and their weights."""
+    p = (np.arange(size)[:, None, None] + _OFFSETS).reshape(-1, LENGTH)
+    fits = p[:, -1] < size
+    return p[fits], np.tile(_WEIGHTS, size)[fits]
 
 
 def _letters(spelling: bytes) -> np.ndarray:
@@ -105,17 +118,15 @@ def _letters(spelling: bytes) -> np.ndarray:
     return np.where(cp < 128, _LETTER[np.minimum(cp, 127)], cp % 6 + 26)
 
 
-def features(spelled: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: indices of the units, subsequence codes (units x places) and weights that are
-    divided by the unit's norm."""
+def features(letters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the short units, by length: indices of the units, subsequence codes (units x places) and weights
+    that are divided by the unit's norm."""
     by: dict[int, list] = {}
-    for k, s in enumerate(spelled):
-        x = _letters(s)
-        by.setdefault(len(x), []).append((k, x))
+    for k, x in enumerate(letters):
+        if LENGTH <= len(x) <= SHORT:
+            by.setdefault(len(x), []).append((k, x))
     for size, got in by.items():
         p, weight = _places(size)
-        if not len(p):
-            continue
         for lo in range(0, len(got), step := max(1, 500_000 // len(p))):
             part = got[lo : lo + step]
             x = np.stack([g[1] for g in part])
@@ -131,10 +142,46 @@ def features(spelled: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             yield np.array([g[0] for g in part]), code, weight / np.sqrt(norm)[:, None]
 
 
+def summed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct subsequence codes of one unit of any length, and its features of norm 1."""
+    whole = None
+    codes, sums = np.zeros(0, np.int64), np.zeros(0)
+    for lo in range(0, max(0, len(x) - LENGTH + 1), POSITIONS):
+        i = np.arange(lo, min(lo + POSITIONS, len(x)))
+        code, weight = [], []
+        for at, w in zip(_OFFSETS, _WEIGHTS):
+            j = i[: max(0, len(x) - at[-1] - lo)]
+            c = x[j]
+            for o in at[1:]:
+                c = c * 32 + x[j + o]
+            code.append(c)
+            weight.append(np.full(len(j), w))
+        code, weight = np.concatenate(code), np.concatenate(weight)
+        if len(x) <= POSITIONS:
+            codes, at = np.unique(code, return_inverse=True)
+            sums = np.bincount(at, weight)
+        else:
+            whole = np.zeros(32**LENGTH) if whole is None else whole
+            whole += np.bincount(code, weight, minlength=len(whole))
+    if whole is not None:
+        codes = np.flatnonzero(whole)
+        sums = whole[codes]
+    return codes, sums / np.sqrt((sums * sums).sum()) if len(sums) else sums
+
+
+def _long(letters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Indices, codes and features of the units that are not short."""
+    for k, x in enumerate(letters):
+        if len(x) > SHORT:
+            yield k, *summed(x)
+
+
 def score_units(spelled: list[bytes], table: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(spelled))
-    for at, code, weight in features(spelled):
+    out, letters = np.zeros(len(spelled)), [_letters(s) for s in spelled]
+    for at, code, weight in features(letters):
         out[at] = (table[code] * weight).sum(1)
+    for k, codes, values in _long(letters):
+        out[k] = table[codes] @ values
     return out
 
 
@@ -252,23 +299,21 @@ def _fit(u: dict, docs: int, toxic: np.ndarray, landmarks: int, max_clean: int)
         for k in order.tolist():
             if len(chosen) >= most:
                 return
-            for _, code, weight in features([stem(k).encode()]):
-                codes, at_code = np.unique(code[0], return_inverse=True)
-                values = np.bincount(at_code, weight[0])
-                near = np.zeros(len(chosen) + 1)
+            codes, values = summed(_letters(stem(k).encode()))
+            near = np.zeros(len(chosen) + 1)
+            for c, v in zip(codes.tolist(), values.tolist()):
+                for row, x in meets.get(c, ()):
+                    near[row] += v * x
+            if len(codes) and near.max() < 0.8:
                 for c, v in zip(codes.tolist(), values.tolist()):
-                    for row, x in meets.get(c, ()):
-                        near[row] += v * x
-                if near.max() < 0.8:
-                    for c, v in zip(codes.tolist(), values.tolist()):
-                        meets.setdefault(c, []).append((len(chosen), v))
-                    chosen.append((codes, values))
+                    meets.setdefault(c, []).append((len(chosen), v))
+                chosen.append((codes, values))
 
     z[stems == 0] = 0
-    strong = np.flatnonzero((z > 3.0) & (a >= 4))
-    take(strong[np.lexsort((stems[strong], -z[strong]))][:2000], landmarks * 3 // 4)
+    strong = np.flatnonzero((z > MIN_Z) & (a >= MIN_COUNT))
+    take(strong[np.lexsort((stems[strong], -z[strong]))], landmarks * 3 // 4)
     common = np.flatnonzero((z < 0.5) & (stems > 0))
-    take(common[np.lexsort((stems[common], -b[common]))][: 4 * landmarks], landmarks)
+    take(common[np.lexsort((stems[common], -b[common]))], landmarks)
     if not chosen:
         return None
     codes = np.unique(np.concatenate([c for c, _ in chosen]))
@@ -288,9 +333,15 @@ def _fit(u: dict, docs: int, toxic: np.ndarray, landmarks: int, max_clean: int)
     inside = np.flatnonzero(place[u["sent"]] >= 0)
     need, needed = np.unique(inverse[inside], return_inverse=True)
     mapped = np.zeros((len(need), flat.shape[1]), np.float32)
-    for got, code, weight in features([spelled[k] for k in need.tolist()]):
-        for lo in range(0, len(got), 200):
-            mapped[got[lo : lo + 200]] = np.einsum("upd,up->ud", flat[place_of[code[lo : lo + 200]]], weight[lo : lo + 200].astype(np.float32), optimize=True)
+    letters = [_letters(spelled[k]) for k in need.tolist()]
+    for got, code, weight in features(letters):
+        step = max(1, 60_000 // code.shape[1])
+        for lo in range(0, len(got), step):
+            mapped[got[lo : lo + step]] = np.einsum("upd,up->ud", flat[place_of[code[lo : lo + step]]], weight[lo : lo + step].astype(np.float32), optimize=True)
+    for k, own, values in _long(letters):
+        hit = place_of[own] > 0
+        mapped[k] = values[hit].astype(np.float32) @ flat[place_of[own[hit]]]
+    del letters
     sums = np.zeros((len(kept), mapped.shape[1]), np.float32)
     edges = np.flatnonzero(np.diff(u["sent"][inside], prepend=-1))
     where = place[u["sent"][inside][edges]]
@@ -317,15 +368,20 @@ def _fit(u: dict, docs: int, toxic: np.ndarray, landmarks: int, max_clean: int)
     return table, float(w[-1])
 
 
-def _families(texts: list) -> np.ndarray:
-    """One text of each family of copies: texts whose sentences have the same least hash."""
+def _families(texts: list, toxic: np.ndarray) -> np.ndarray:
+    """One text of each family of copies: texts of one label of whose sentences two least hashes are equal."""
     u = units(texts)
     if not len(u["h"]):
         return np.arange(len(texts))
     edges = np.flatnonzero(np.diff(u["sent"], prepend=-1))
-    least = np.full(len(texts), 2**64 - 1, U)
-    np.minimum.at(least, u["sent_doc"][u["sent"][edges]], words.mix(np.add.reduceat(words.mix(u["h"] + U(1)), edges)))
-    return np.sort(np.unique(least, return_index=True)[1])
+    same, owner, key = np.add.reduceat(words.mix(u["h"] + U(1)), edges), u["sent_doc"][u["sent"][edges]], toxic.astype(U)
+    for k in (1, 2):
+        least = np.full(len(texts), 2**64 - 1, U)
+        np.minimum.at(least, owner, words.mix(same * U(2 * k + 1) + U(k)))
+        key = words.mix(key ^ least)
+    bare = np.bincount(owner, minlength=len(texts)) == 0
+    key[bare] = words.mix(np.flatnonzero(bare).astype(U))
+    return np.sort(np.unique(key, return_index=True)[1])
 
 
 def _margins(u: dict, table: np.ndarray, bias: float) -> np.ndarray:
@@ -354,16 +410,20 @@ def _cutoff(sent_doc: np.ndarray, margin: np.ndarray, n: np.ndarray, toxic: np.n
     return found
 
 
+#: The model without labels of both classes: no text is toxic.
+_NOTHING = {"id": 0, "table": np.zeros(32**LENGTH, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
+
+
 def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean: int = MAX_CLEAN, clean_weight: float = 1.0) -> dict:
     """Fit on texts and their 0/1 labels. ``clean_weight``: clean documents for each one in the sample, over
     toxic ones for each one. The machine is fitted on all texts; offset, rate and threshold on margins that
     machines of one half give to the other half. Of copies one is used."""
     toxic = np.asarray(toxic).astype(bool)
-    one = _families(texts)
+    one = _families(texts, toxic)
     texts, toxic = [texts[k] for k in one], toxic[one]
     fitted = _fit(units(texts), len(texts), toxic, landmarks, max_clean)
     if fitted is None:
-        return {"id": 0, "table": np.zeros(32**LENGTH, np.float32), "bias": -1.0, "rate": 0.0, "threshold": np.inf}
+        return dict(_NOTHING)
     half = np.zeros(len(texts), bool)
     for c in (True, False):
         half[np.flatnonzero(toxic == c)[::2]] = True
@@ -384,16 +444,27 @@ def train(texts: list, toxic: np.ndarray, landmarks: int = LANDMARKS, max_clean:
     return {"id": name, "table": table, "bias": bias - offset, "rate": float(rate), "threshold": float(threshold)}
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
-    """Arguments of ``train``: at most ``max_labelled`` documents of each class, in the order of a hash."""
-    own = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    of = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for c in (0, 1)]
-    ids = of[0].unionByName(of[1])
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    got.sort(key=lambda r: r["doc_id"])
+_MODEL = "id long, table binary, bias double, rate double, threshold double"
+
+
+def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_clean: int = MAX_CLEAN, landmarks: int = LANDMARKS) -> dict:
+    """The model of ``train``, fitted in one task on at most ``max_labelled`` documents of each class."""
+    own = settle(labels, ["doc_id", "toxic"]).select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = dict(own.groupBy("toxic").count().collect())
     over = [size.get(c, 0) / max(1, min(max_labelled, size.get(c, 0))) for c in (0, 1)]
-    return {"texts": [r["text"] for r in got], "toxic": np.array([r["toxic"] for r in got], dtype=int), "clean_weight": over[0] / max(over[1], 1.0)}
+    clean_weight = over[0] / max(over[1], 1.0)
+    of = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for c in (0, 1)]
+    got = settle(docs, ["doc_id", "text"]).select("doc_id", "text").join(F.broadcast(of[0].unionByName(of[1])), "doc_id")  # at most 2 x max_labelled ids
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        m = train([x if isinstance(x, str) else None for x in rows["text"]], rows["toxic"].to_numpy(), landmarks, max_clean, clean_weight)
+        words.give_back()
+        return pd.DataFrame({"id": [m["id"] % (1 << 63)], "table": [m["table"].tobytes()], "bias": [m["bias"]], "rate": [m["rate"]], "threshold": [float(m["threshold"])]})
+
+    row = got.groupBy(F.lit(0).alias("one")).applyInPandas(fit, _MODEL).first()
+    return row.asDict() | {"table": np.frombuffer(row["table"], np.float32)} if row else dict(_NOTHING)
 
 
 def classify(docs: DataFrame, model: dict, toxic: bool) -> DataFrame:
@@ -428,11 +499,12 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents: doc_id, score."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return scores(docs, train(**labelled(docs, labels)))
+    docs = settle(docs, ["doc_id", "text"])
+    return scores(docs, trained(docs, labels))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the toxic ones."""
     settled = settle(docs, ["doc_id", "text"])
-    model = train(**labelled(settled, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = trained(settled, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classify(settled, model, toxic=False).toDF(*docs.columns)
