@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -25,10 +26,13 @@ def session(name: str = "foliospark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (local runs)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local, else an
+    error, as executors on other machines couldn't read it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         sc.setCheckpointDir(found)
     return found
@@ -42,15 +46,20 @@ def save_table(df: DataFrame, name: str) -> DataFrame:
 
     Unlike ``checkpoint()`` this runs the plan once. ``release`` deletes the files.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
+    path = kept_path(df.sparkSession, name, uuid.uuid4().hex)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_path(spark: SparkSession, name: str, suffix: str) -> str:
+    """A new folder in the shared one, that ``release`` deletes."""
+    path = f"{shared_dir(spark)}/foliospark/{name}-{suffix}"
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that ``save_table`` wrote; DataFrames built on them can't be read after."""
+    """Delete what was written to ``kept_path``; DataFrames built on it can't be read after."""
     jvm, n = spark.sparkContext._jvm, 0
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
@@ -59,12 +68,25 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+#: Sizes of fixed-width values in a broadcast hash table's rows, beside what each row takes itself.
+ROW_BYTES = 64
+
+
 def small(df: DataFrame, width: int, limit: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is under the limit, else unchanged.
+    """``df`` with a broadcast hint if its counted rows, of ``width`` bytes and ``ROW_BYTES`` each, stay under the
+    limit, else unchanged.
 
     Without the hint Spark picks a shuffled join, which holds at any size.
     """
-    return F.broadcast(df) if df.count() * width <= (BROADCAST_BYTES if limit is None else limit) else df
+    return F.broadcast(df) if df.count() * (width + ROW_BYTES) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """``df`` over all cores if it has fewer than ``least`` bytes for each of them: such a table may be a single row
+    group, that one task would read. Larger ones stay as they are; the rows are the same in any case."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * least else df
 
 
 def settle(df: DataFrame, own: Iterable[str], new: Iterable[str] = ()) -> DataFrame:
