@@ -6,15 +6,16 @@ the bit lengths of how often the contexts occur. They are learned by expectation
 held-out documents (a hash picks ``HELD_OUT`` of 1000). Estimates are deleted ones: a document is scored,
 held out or not, on the counts of the whole corpus less its own.
 
-Counts cover all words of all documents. A chunk of documents sends its distinct n-grams, as sorted
-hashes with counts, to ranges of the hash; each range adds up its chunks' lists and answers each of
-them with the corpus counts in the order of its list; the chunk, scanned again, scores its
-documents from the answers. The table of counts is never held in one place, and what is moved grows
-with the distinct n-grams of the chunks. The chunks must be the same in each scan, as for files; an
-answer that doesn't fit its chunk is an error. Other inputs should be written first (save_table).
+Counts cover all words of all documents. Chunks of documents are written once, as lists of words. A chunk
+sends its distinct n-grams, as sorted hashes with counts, to ranges of the hash (``RANGES`` for eight chunks, so a range
+takes about as much at any size); each range adds up its chunks' lists and answers each of
+them with the corpus counts in the order of its list; the chunk's own row meets the answers and scores its
+documents. The table of counts is never held in one place, what is moved grows
+with the distinct n-grams of the chunks, and no later step depends on how the documents were split.
 
 Result: doc_id, words, log2 probability of the words, bits per word. Defined results: null and empty
-texts have 0 words, 0 bits and null bits per word; nulls in doc_id stay; a repeated row is a document of
+texts have 0 words, 0 bits and null bits per word; very long
+texts make chunks of their own, scored whole; nulls in doc_id stay; a repeated row is a document of
 its own; other columns don't matter; an empty table gives no rows. If fewer than ``LEAST`` words are
 held out, the weights are learned from all documents (their own counts are deleted all the same).
 """
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import save_table, settle
 from . import words
-from .suffixes import pack_sorted, parts_of, planes, unpack_sorted, unplanes
+from .suffixes import pack_sorted, planes, unpack_sorted, unplanes
 
-ORDER, HELD_OUT, LEAST, ROUNDS, LEVELS, BLOCK = 3, 20, 100, 12, 12, 2 << 20
+ORDER, HELD_OUT, LEAST, ROUNDS, LEVELS, BLOCK, RANGES = 3, 20, 100, 12, 12, 2 << 20, 2
 U = np.uint64
 
 
@@ -108,23 +109,62 @@ def chance_of(p: np.ndarray, bucket: np.ndarray, weights: np.ndarray, vocabulary
 
 _ROW = "part int, chunk long, n int, a binary, b binary, c binary"
 _CHUNK = "part int, chunk long, n int, a binary, b binary, c binary, ids array<long>"
+_NAMES = ["part", "chunk", "n", "a", "b", "c"]
 
 
-def _count(docs: DataFrame, order: int, block: int) -> DataFrame:
-    """Answers: (part, chunk, n, corpus counts, counts with a following word); rows with chunk -1
-    hold a range's count of distinct n-grams and total."""
-    bits = parts_of(docs, 4)
+def _zip(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
 
-    def ask(batches):
+
+def _unzip(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=_NAMES)
+
+
+def _chunks(docs: DataFrame, block: int) -> DataFrame:
+    """One row (part -1) for each chunk of documents: distinct words, words as places in them, layout, doc_ids."""
+
+    def run(batches):
         task = TaskContext.get().partitionId()
-        for k, (_, texts) in enumerate(words.blocks(batches, block)):
+        for k, (ids, texts) in enumerate(words.blocks(batches, block)):
             h, _, _, first, _ = words.scan(texts)
+            key, inverse = np.unique(h, return_inverse=True)
+            got = _batch([(-1, (task << 32) + k, 0, _zip(pack_sorted(key)), _zip(planes(inverse, 4)), _zip(planes(first, 4)))])
+            yield got.append_column("ids", pa.array([ids], pa.list_(pa.int64())))
+
+    return save_table(docs.mapInArrow(run, _CHUNK), "chunks")
+
+
+def _words(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a chunk and the first one of each document."""
+    key, first = unpack_sorted(_unzip(a)), unplanes(_unzip(c), 4).astype(np.int64)
+    return key[unplanes(_unzip(b), 4)] if len(key) else np.zeros(0, U), first
+
+
+def _each(batches):
+    """(chunk, words, first) of chunk rows, one at a time."""
+    for b in (x for whole in batches for x in words.slices(whole, 1)):
+        chunk, *raw = (b.column(c)[0].as_py() for c in range(4))
+        yield chunk, *_words(*raw)
+    words.give_back()
+
+
+def _count(chunks: DataFrame, order: int, bits: int) -> DataFrame:
+    """Answers: (part, chunk, n, corpus counts, counts with a following word); rows with chunk -1
+    hold a range's count of distinct n-grams and total. A chunk has rows for the ranges it meets only."""
+
+    def ask(batches):
+        for chunk, h, first in _each(batches):
             rows = []
             for n, (key, inverse, _, follows) in enumerate(_grams(h, first, order), 1):
                 count, ctx = np.bincount(inverse, minlength=len(key)), np.bincount(inverse, follows, minlength=len(key))
-                cut = np.searchsorted(key >> U(64 - bits), np.arange((1 << bits) + 1).astype(U))
-                rows += [(p, (task << 32) + k, n, pack_sorted(key[i:j]), _small(count[i:j]), _small(ctx[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "chunk", "n", "a", "b", "c"])
+                part = (key >> U(64 - bits)).astype(np.int64)
+                cut = np.flatnonzero(np.append(np.diff(part, prepend=-1) != 0, True))
+                rows += [(int(part[i]), chunk, n, pack_sorted(key[i:j]), _small(count[i:j]), _small(ctx[i:j])) for i, j in zip(cut.tolist(), cut[1:].tolist())]
+            yield _batch(rows)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(a) for a in rows["a"]]
@@ -135,55 +175,32 @@ def _count(docs: DataFrame, order: int, block: int) -> DataFrame:
         stat = pd.DataFrame({"part": [rows["part"].iloc[0]], "chunk": [-1], "n": [rows["n"].iloc[0]], "a": [None], "b": [_small(np.array([len(union)]))], "c": [_small(np.array([sums[0].sum()]))]})
         return pd.concat([out, stat])
 
-    return docs.mapInArrow(ask, _ROW).groupBy("part", "n").applyInPandas(answer, _ROW)
+    return chunks.select("chunk", "a", "b", "c").mapInArrow(ask, _ROW).groupBy("part", "n").applyInPandas(answer, _ROW)
 
 
-def _chunk_rows(docs: DataFrame, build, block: int) -> DataFrame:
-    """One row (part -1) for each chunk, from ``build(ids, h, first)`` -> (a, b, c, ids) or None."""
+def _held_rows(chunks: DataFrame, order: int, share: int) -> DataFrame:
+    """One row (part -1) for each chunk with held-out documents: places of their n-grams in the chunk's lists, sizes of
+    the lists, layout."""
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        for k, (ids, texts) in enumerate(words.blocks(batches, block)):
-            h, _, _, first, _ = words.scan(texts)
-            got = build(ids, h, first)
-            if got is not None:
-                a, b, c, ids = got
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1], pa.int32()), pa.array([(task << 32) + k], pa.int64()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c)), pa.array([ids], pa.list_(pa.int64()))],
-                    names=["part", "chunk", "n", "a", "b", "c", "ids"],
-                )
-
-    return docs.mapInArrow(run, _CHUNK)
-
-
-def _whole(ids: list, h: np.ndarray, first: np.ndarray) -> tuple:
-    """All documents of a chunk: distinct words, words as places in them, layout."""
-    key, inverse = np.unique(h, return_inverse=True)
-    return pack_sorted(key), planes(inverse, 4), planes(first, 4), ids
-
-
-def _held(order: int, share: int):
-    """The held-out documents of a chunk: places of their n-grams in the chunk's lists, layout."""
-
-    def build(ids: list, h: np.ndarray, first: np.ndarray):
-        pick = held_out(first, h, share)
-        if not pick.any():
-            return None
-        own = pick[words.doc_of(first)]
-        places = [inverse[own[pos]] for _, inverse, pos, _ in _grams(h, first, order)]
-        return planes(np.concatenate(places), 4), b"", planes(np.concatenate(([0], np.cumsum(np.diff(first)[pick]))), 4), None
+        for chunk, h, first in _each(batches):
+            pick = held_out(first, h, share)
+            if pick.any():
+                own, grams = pick[words.doc_of(first)], _grams(h, first, order)
+                at = np.concatenate([inverse[own[pos]] for _, inverse, pos, _ in grams])
+                yield _batch([(-1, chunk, 0, planes(at, 4), planes(np.array([len(g[0]) for g in grams]), 8), planes(np.concatenate(([0], np.cumsum(np.diff(first)[pick]))), 4))])
 
-    return build
+    return chunks.select("chunk", "a", "b", "c").mapInArrow(run, _ROW)
 
 
-def _counts(rows: pd.DataFrame, order: int, sizes: list[int] | None) -> list[tuple]:
+def _counts(rows: pd.DataFrame, order: int, sizes: list[int]) -> list[tuple]:
     """By n: the chunk's answers, in the order of its distinct n-grams."""
     out = []
     for n in range(1, order + 1):
         own = rows[rows["n"] == n].sort_values("part")
         got = tuple(np.concatenate([_large(x) for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in ("b", "c"))
-        if sizes is not None and len(got[0]) != sizes[n - 1]:
-            raise ValueError("the chunks of the two scans differ: write the documents first (save_table)")
+        if len(got[0]) != sizes[n - 1]:
+            raise ValueError("the answers don't fit the chunk")
         out.append(got)
     return out
 
@@ -191,9 +208,7 @@ def _counts(rows: pd.DataFrame, order: int, sizes: list[int] | None) -> list[tup
 def _restore(rows: pd.DataFrame, order: int) -> tuple:
     """Documents, n-grams and corpus counts of one chunk."""
     info = rows[rows["part"] < 0].iloc[0]
-    key = unpack_sorted(info["a"])
-    first = unplanes(info["c"], 4).astype(np.int64)
-    h = key[unplanes(info["b"], 4)] if len(key) else np.zeros(0, U)
+    h, first = _words(info["a"], info["b"], info["c"])
     grams = _grams(h, first, order)
     return info["ids"], first, grams, _counts(rows, order, [len(g[0]) for g in grams])
 
@@ -206,7 +221,7 @@ def _restore_held(rows: pd.DataFrame, order: int) -> tuple:
     for pos, follows in _layout(first, order):
         grams.append((None, places[at : at + len(pos)], pos, follows))
         at += len(pos)
-    return first, grams, _counts(rows, order, None)
+    return first, grams, _counts(rows, order, unplanes(info["b"], 8).astype(np.int64).tolist())
 
 
 def held_out(first: np.ndarray, h: np.ndarray, share: int) -> np.ndarray:
@@ -239,12 +254,13 @@ def _learn(table: DataFrame, buckets: int, orders: int, vocabulary: int, rounds:
 
 def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, words, log2_prob, bits_per_word)."""
-    docs = settle(docs, ["doc_id", "text"]).select("doc_id", "text")
-    answers = save_table(_count(docs, order, block), "answers")
+    chunks = _chunks(settle(docs, ["doc_id", "text"]).select("doc_id", "text"), block)
+    bits = max(1, (chunks.count() * RANGES // 8).bit_length())
+    answers = save_table(_count(chunks, order, bits), "answers")
     whole = answers.filter("chunk = -1 and n = 1").select("b", "c")
     numbers = lambda c: int(sum(_large(r[c])[0] for r in whole.collect()))
     vocabulary, total = numbers("b"), numbers("c")
-    own = answers.filter("chunk >= 0").withColumn("ids", F.lit(None).cast("array<long>"))
+    own = answers.filter("chunk >= 0")
     names = [f"p{n}" for n in range(1, order + 1)]
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -257,7 +273,7 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
     buckets = LEVELS ** (order - 1)
 
     def drawn(share: int) -> DataFrame:
-        return save_table(_chunk_rows(docs, _held(order, share), block).unionByName(own).groupBy("chunk").applyInPandas(learn, "bucket int, " + ", ".join(f"{c} double" for c in names)), "heldout")
+        return save_table(_held_rows(chunks, order, share).unionByName(own).groupBy("chunk").applyInPandas(learn, "bucket int, " + ", ".join(f"{c} double" for c in names)), "heldout")
 
     sample = drawn(held)
     if sample.count() < LEAST:
@@ -272,7 +288,7 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
         log2 = logs[first[1:]] - logs[first[:-1]]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in ids], dtype="Int64"), "words": n, "log2_prob": np.where(n > 0, log2, 0.0), "bits_per_word": pd.array([-a / b if b else None for a, b in zip(log2, n)], dtype="Float64")})
 
-    return _chunk_rows(docs, _whole, block).unionByName(own).groupBy("chunk").applyInPandas(finish, "doc_id long, words long, log2_prob double, bits_per_word double")
+    return chunks.unionByName(own.withColumn("ids", F.lit(None).cast("array<long>"))).groupBy("chunk").applyInPandas(finish, "doc_id long, words long, log2_prob double, bits_per_word double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ the whole mix. A source with more demand than tokens starts again (next epoch).
 
 By default the budget is the least one at which each source's demand covers its tokens: every
 document is used at least once. With ``total_tokens`` a source may have too much; what isn't due
-within the budget is left out. Documents are range-partitioned by position and sorted.
+within the budget is left out. Documents are range-partitioned by position and sorted; that is the only time
+they are moved, as the tokens before each one are found from hashes and places of the rows (``places``), over many
+tasks for a source of any size.
 
 Tokens are runs of characters other than blank, tab and line break; a document without any counts
 as one token. Defined results: null sources form a source of their own; null and empty texts count
-as one token; a null doc_id hashes as 0 and comes first; equal hashes are ordered by doc_id, then by
+as one token; very long texts count whole; a null doc_id hashes as 0 and comes first; equal hashes are ordered by doc_id, then by
 a hash of the row; repeated rows each get their place; an empty table gives no rows; other
 columns stay, and one named position, epoch or n_tokens is kept as ``<name>_in``.
 """
@@ -24,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import settle, small
-from .ordering import BUCKET_ROWS, buckets, order_hash, order_hash_sql
+from ..runtime import save_table, settle, small
+from . import places
+from .ordering import order_hash, order_hash_sql
 
 SEED, STEPS, START, END, PART_TOKENS = 11, 100, 0.7, 1.0, 4_000_000
 _NONE = "\x00none"
-_WORK = ["position", "epoch", "n_tokens", "__s", "__h", "__b", "__c", "__o", "__supply", "__due", "__total", "__d", "__x", "__k", "__p"]
+_WORK = ["position", "epoch", "n_tokens", "__s", "__h", "__c", "__supply", "__due", "__d", "__x", "__k", "__p", "__f", "__r", "__key", "_metadata"]
 
 
 def default_weight(steps: int = STEPS, start: float = START, end: float = END):
@@ -37,16 +40,16 @@ def default_weight(steps: int = STEPS, start: float = START, end: float = END):
     return F.pow(F.col("__supply").cast("double"), F.lit(start) + (F.lit(end) - F.lit(start)) * (F.col("__k") + 0.5) / steps)
 
 
-def mix(docs: DataFrame, weight=None, total_tokens: int | None = None, steps: int = STEPS, seed: int = SEED, part_tokens: int = PART_TOKENS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weight=None, total_tokens: int | None = None, steps: int = STEPS, seed: int = SEED, part_tokens: int = PART_TOKENS, limit: int | None = None, **kw) -> DataFrame:
     """``docs`` with n_tokens, epoch and position, sorted by position."""
-    docs = settle(docs, ["doc_id", "text", "source"], _WORK)
-    h = order_hash(F.col("doc_id"), seed)
-    n = docs.select("doc_id").count()
-    parts = 1 + n // bucket_rows
+    docs = places.located(settle(docs, ["doc_id", "text", "source"], _WORK))
     tokens = F.greatest(F.lit(1), F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r]+")), F.lit(0))).cast("long")
-    base = docs.withColumns({"n_tokens": tokens, "__s": F.coalesce("source", F.lit(_NONE)), "__h": h, "__b": buckets(h, parts)})
-    sums = base.groupBy("__s", "__b").agg(F.sum("n_tokens").alias("t")).persist()
-    each = sums.groupBy("__s").agg(F.sum("t").alias("__supply"))
+    named = F.coalesce("source", F.lit(_NONE)).alias("__s")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in (places.FOLDER, places.ROW)]
+    narrow = docs.select(places.FOLDER, places.ROW, named, order_hash(F.col("doc_id"), seed).alias("__h"), F.col("doc_id").alias("__key"), F.xxhash64(*own).alias("__x"), tokens.alias("n_tokens"))
+    run = places.running(narrow, ["__h", F.col("__key").asc_nulls_first(), "__x"], "n_tokens", "__s", limit, **kw)
+    path = places.write(run, "__c")
+    each = save_table(run.groupBy("__s").agg(F.sum("n_tokens").alias("__supply")), "supply")
     steps_ = each.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("w", weight if weight is not None else default_weight(steps))
     steps_ = steps_.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("__k")) / steps)
     shares = steps_.groupBy("__s", "__supply").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "share"))), lambda x: x["share"]).alias("share"), F.sum("share").alias("all"))
@@ -55,20 +58,17 @@ def mix(docs: DataFrame, weight=None, total_tokens: int | None = None, steps: in
     total = float(total_tokens)
     due = shares.select("__s", "__supply", F.aggregate("share", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x * total))).alias("__d"))
     due = due.withColumn("__due", F.round(F.element_at("__d", -1)).cast("long"))
-    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__s", "__b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("__o"))
-    order = Window.partitionBy("__s", "__b").orderBy("__h", F.col("doc_id").asc_nulls_first(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    out = base.withColumn("__c", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    out = out.join(small(offsets, 64), ["__s", "__b"]).join(small(due, 16 * steps), "__s")
+    out = docs.withColumns({"n_tokens": tokens, "__s": named, "__c": places.answer(path)}).drop(places.FOLDER, places.ROW)
+    out = out.join(small(due, 16 * steps, limit), "__s")
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("__due") / F.col("__supply")).cast("int") - 1))))
-    out = out.withColumn("__x", F.col("epoch").cast("long") * F.col("__supply") + F.col("__o") + F.col("__c")).filter("__x < __due")
+    out = out.withColumn("__x", F.col("epoch").cast("long") * F.col("__supply") + F.col("__c")).filter("__x < __due")
     out = out.withColumn("__k", F.least(F.size(F.filter("__d", lambda d: d <= F.col("__x"))), F.lit(steps)))
     low, high = F.element_at("__d", F.col("__k")), F.element_at("__d", F.col("__k") + 1)
     out = out.withColumn("position", (F.col("__k") - 1 + F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("__x") - low, high - low)), F.lit(0.0))) * F.lit(total / steps))
     ranges = 1 + int(total // part_tokens)
     out = out.withColumn("__p", F.least(F.lit(ranges - 1), F.floor(F.col("position") / F.lit(max(total, 1.0)) * ranges).cast("int")))
     out = out.repartitionById(ranges, F.col("__p")).sortWithinPartitions("position", "__s", "doc_id")
-    return out.select(*docs.columns, "n_tokens", "epoch", "position")
+    return out.select(*own, "n_tokens", "epoch", "position")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

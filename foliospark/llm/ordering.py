@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 20_000
+from . import places
+
 ROUNDS = 6
 _A, _B, _C = 2654435761, 1540483477, 1 << 32
 
@@ -26,28 +25,19 @@ def order_hash_sql(key: str, seed: int = 0) -> str:
     return f"((xor({x}, {x} >> 15) * {_B}) % {_C})"
 
 
-def buckets(h: Column, n: int) -> Column:
-    """``h`` in ``n`` ranges, of about equal size."""
-    return F.expr("0").cast("int") if n == 1 else F.floor(h * F.lit(n) / F.lit(_C)).cast("int")
-
-
-def row_numbers(df: DataFrame, key: str, name: str, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """``df`` with its global row number in the order of (hash of key, key, hash of the row), and
+def row_numbers(df: DataFrame, key: str, name: str, seed: int = 0, **kw) -> tuple[DataFrame, int]:
+    """``df`` with its global row number in the order of (hash of key, key with nulls first, hash of the row), and
     the count of rows.
 
-    The hash gives ranges of even size; their counts come from a scan of the key alone, so a row's
-    number is its range's offset and its rank there, and no range has to see another one.
+    Only hash, key and place of each row are shuffled; the numbers go back to the rows by their places.
     """
-    h = order_hash(F.col(key), seed)
-    n = df.select(key).count()
-    parts = 1 + n // bucket_rows
-    counts = dict(df.select(buckets(h, parts).alias("b")).groupBy("b").count().collect())
-    offsets = list(accumulate((counts.get(b, 0) for b in range(parts)), initial=0))[:-1]
-    at = df.sparkSession.createDataFrame([(b, o) for b, o in enumerate(offsets)], "__b int, __o long")
-    w = Window.partitionBy("__b").orderBy("__h", F.col(key).asc_nulls_first(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    out = df.withColumns({"__b": buckets(h, parts), "__h": h}).withColumn("__r", F.row_number().over(w))
-    out = out.join(F.broadcast(at), "__b").withColumn(name, F.col("__o") + F.col("__r") - 1)
-    return out.drop("__b", "__h", "__r", "__o"), n
+    df = places.located(df)
+    own = [F.col(f"`{c}`") for c in df.columns if c not in (places.FOLDER, places.ROW)]
+    k = F.col(f"`{key}`")
+    narrow = df.select(places.FOLDER, places.ROW, order_hash(k, seed).alias("__h"), k.alias("__key"), F.xxhash64(*own).alias("__x"), F.lit(1).alias("__w"))
+    numbered = places.running(narrow, ["__h", F.col("__key").asc_nulls_first(), "__x"], "__w", **kw)
+    path = places.write(numbered, "__c")
+    return df.withColumn(name, places.answer(path)).drop(places.FOLDER, places.ROW), numbered.count()
 
 
 def round_keys(key: int) -> list[int]:

@@ -176,11 +176,11 @@ def spans(docs: DataFrame, size: int = MIN_WORDS, block: int = BLOCK) -> DataFra
             first, repeated, key, send = local(texts, size)
             part = [-1 - shard % (1 << bits)]
             rows = [(ids, planes(first, 4), pack_sorted(repeated.astype(U)))]
-            cut = np.searchsorted(key >> U(64 - bits), np.arange((1 << bits) + 1).astype(U))
-            for p, (i, j) in enumerate(zip(cut, cut[1:])):
-                if j > i:
-                    part.append(p)
-                    rows.append((None, pack_sorted(key[i:j]), planes(send[i:j], 4)))
+            met = (key >> U(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.append(np.diff(met, prepend=-1) != 0, True)).tolist()
+            for i, j in zip(cut, cut[1:]):  # the ranges that the shard meets only, however many there are
+                part.append(int(met[i]))
+                rows.append((None, pack_sorted(key[i:j]), planes(send[i:j], 4)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), pa.array([shard] * len(part), pa.int64()), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.list_(pa.int64()), pa.binary(), pa.binary())))],
                 names=["part", "shard", "ids", "a", "b"],

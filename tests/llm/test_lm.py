@@ -83,9 +83,23 @@ def test_other_chunks_are_an_error(spark):
 
     from foliospark.llm.suffixes import pack_sorted, planes
 
-    rows = pd.DataFrame({"part": [-1], "chunk": [0], "n": [0], "a": [pack_sorted(np.unique(h))], "b": [planes(np.arange(3), 4)], "c": [planes(first, 4)], "ids": [[1]]})
+    rows = pd.DataFrame({"part": [-1], "chunk": [0], "n": [0], "a": [lm._zip(pack_sorted(np.unique(h)))], "b": [lm._zip(planes(np.arange(3), 4))], "c": [lm._zip(planes(first, 4))], "ids": [[1]]})
     with pytest.raises(ValueError):
         lm._restore(rows, 2)
+    held = pd.DataFrame({"part": [-1], "chunk": [0], "n": [0], "a": [planes(np.arange(5), 4)], "b": [planes(np.array([3, 2]), 8)], "c": [planes(first, 4)]})
+    with pytest.raises(ValueError):
+        lm._restore_held(held, 2)
+
+
+def test_other_splits_after_the_plan_was_made(spark, sf):
+    want = sorted(map(tuple, lm.score(spark.read.parquet(f"{sf}/documents.parquet"), block=100_000).collect()))
+    out, old = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), block=100_000), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want
 
 
 def test_awkward_rows(spark):

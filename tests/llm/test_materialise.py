@@ -50,7 +50,7 @@ def test_round_trip_and_resume(spark, tmp_path):
     assert [(int(a), int(b)) for a, b in zip(part["doc_id"], part["piece"])] == [(x.doc_id, x.piece) for x in rows[17:28]]
     assert len(m.read_slots(path, total - 2, 50, 16, 10)) == 2
     assert sorted(p.name for p in (tmp_path / "shards").iterdir() if p.suffix == ".bin") == [f"shard-{k:08d}.bin" for k in range(-(-total // 10))]
-    again = m.write_shards(docs(spark, texts).repartition(7), path, seq_len=16, shard_slots=10)
+    again = m.write_shards(docs(spark, texts).repartition(7), path, seq_len=16, shard_slots=10, range_rows=6, limit=0)
     assert sorted(x.crc for x in again.collect()) == sorted(x.crc for x in manifest.collect())
 
 
@@ -62,3 +62,5 @@ def test_awkward_rows(spark, tmp_path):
     assert len({x.slot for x in rows}) == len(rows) == want
     assert sum(x.doc_id == 3 for x in rows) == 2 and any(x.doc_id is None for x in rows)
     assert m.write_shards(empty(spark), path + "e").count() == 0
+    long = docs(spark, ["x" * 300_000, "y" * 1_000_000])
+    assert m.write_shards(long, path + "l").agg({"slots": "sum"}).first()[0] == sum(-(-len(t) // m.SEQ_LEN) for t in plain(["x" * 300_000, "y" * 1_000_000]))

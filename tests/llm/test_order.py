@@ -29,11 +29,20 @@ def test_shards_can_be_computed(spark):
     slots = ordering.permute(np.arange(57), 57, 9)
     assert {r.doc_id: r.slot for r in rows} == {i: int(s) for i, s in zip(ids, slots)}
     assert all((r.shard, r.place) == (r.slot // 10, r.slot % 10) for r in rows)
-    small = ordering.row_numbers(d, "doc_id", "n", bucket_rows=7)[0].collect()
-    assert {r.doc_id: r.n for r in small} == {i: k for k, i in enumerate(ids)}
+    for limit in (None, 0):
+        small = ordering.row_numbers(d, "doc_id", "n", range_rows=7, limit=limit)[0].collect()
+        assert {r.doc_id: r.n for r in small} == {i: k for k, i in enumerate(ids)}
     assert sharding.shard(d, shard_rows=10).rdd.getNumPartitions() == 6
 
 
+def test_null_and_repeated_ids_in_many_ranges(spark):
+    d = docs(spark, [f"t{k % 5}" for k in range(90)], ids=[None] * 40 + [7] * 40 + list(range(10)))
+    one = ordering.row_numbers(d.repartition(3), "doc_id", "n", range_rows=8)[0].collect()
+    two = ordering.row_numbers(d.repartition(5), "doc_id", "n", range_rows=11, limit=0)[0].collect()
+    assert sorted(r.n for r in one) == list(range(90))
+    assert sorted((r.n, r.doc_id or -1, r.text) for r in one) == sorted((r.n, r.doc_id or -1, r.text) for r in two)
+
+
 def test_shard_awkward_rows(spark):
     df = awkward(spark, ("place",))
     out = sharding.shard(df)
@@ -66,11 +75,11 @@ def brute_mix(rows, steps, start, end, seed, total=None):
     return out
 
 
-@pytest.mark.parametrize("total", [None, 900])
-def test_mix_against_brute_force(spark, total):
+@pytest.mark.parametrize("total,limit", [(None, None), (900, 0)])
+def test_mix_against_brute_force(spark, total, limit):
     r = random.Random(4)
     rows = [(k, prose(r, r.randint(1, 60)), r.choice("aaaab") if k else "c") for k in range(60)]
-    got = [(x.doc_id, x.epoch, x.position) for x in mixing.mix(docs(spark, [x[1] for x in rows], sources=[x[2] for x in rows]), total_tokens=total, bucket_rows=9, part_tokens=300).collect()]
+    got = [(x.doc_id, x.epoch, x.position) for x in mixing.mix(docs(spark, [x[1] for x in rows], sources=[x[2] for x in rows]), total_tokens=total, range_rows=9, part_tokens=300, limit=limit).collect()]
     want = brute_mix(rows, mixing.STEPS, mixing.START, mixing.END, mixing.SEED, total)
     assert [p for _, _, p in got] == sorted(p for _, _, p in got)
     a, b = sorted(got), sorted(want)
