@@ -9,14 +9,17 @@ the integers and the estimate is unbiased. Each element has one Poisson process
 dyadic range of weight levels ([0,1), [1,2), [2,4), [4,8), ...) that its count reaches into, with
 the rate of the range's width; points come in ascending order, each with a signature component and
 a level of the range. The bits of the level are the choices of a hierarchical split of the process
-down to single levels; a point counts if its level is below the element's count. Only points below
+down to single levels, drawn at once (thinning) in place of one split after another; a point counts if its level is below the element's count. Only points below
 a limit that the document's total weight suggests are drawn; where a component stays empty, the
 document is drawn again with the limit doubled, so the limit never changes the result.
 
 Equal bags are joined by a 128-bit hash first. The other documents meet in bands of equal
-signature parts: in each bucket every document is verified against the least one; the components
-of that are taken, and all pairs of a bucket that lie in different components are verified
-then, so no candidate pair is dropped: each is verified or already joined.
+signature parts: in each bucket every document is compared with the least one, and the components
+of the links found are taken. Of the other pairs of a bucket only those count that lie in different components, and
+1 - similarity being a metric, those only whose distances to the least document differ by no more than a link may
+measure; they are verified then. So no candidate pair is dropped: each is verified, ruled out or already joined.
+Least documents are found by aggregation and joined back, so a large bucket or group of copies is split by
+the adaptive skew join and never sorted in one task.
 
 Defined results: documents without words (null, empty) are near copies of nothing; rows without a
 doc_id too; rows of one doc_id are taken as one document, the least of their texts, and a stage
@@ -133,61 +136,63 @@ def _bag_table(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, e binary, c binary")
 
 
-def _verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough. Pairs are sent to their bags, not broadcast."""
+def _compared(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with the overlap of their bags, where the sizes allow for ``least``, else with an upper bound of
+    it. Pairs are sent to their bags, not broadcast."""
     left = bag.select(F.col("doc_id").alias("a"), F.col("e").alias("ea"), F.col("c").alias("ca"))
     right = bag.select(F.col("doc_id").alias("b"), F.col("e").alias("eb"), F.col("c").alias("cb"))
 
     def run(batches):
-        for t in batches:
-            keep = []
+        for t in (x for whole in batches for x in words.slices(whole)):
+            got = []
             for ea, ca, eb, cb in zip(*(t.column(k).to_pylist() for k in range(2, 6))):
                 a = np.frombuffer(ea, U), np.frombuffer(ca, np.uint32).astype(np.int64)
                 b = np.frombuffer(eb, U), np.frombuffer(cb, np.uint32).astype(np.int64)
                 wa, wb = a[1].sum(), b[1].sum()
-                keep.append(min(wa, wb) >= threshold * max(wa, wb) and overlap(a, b) >= threshold)
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                most = min(wa, wb) / max(wa, wb)
+                got.append(overlap(a, b) if most >= least else most)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(got, pa.float64())], names=["a", "b", "sim"])
+        words.give_back()
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "ca", "eb", "cb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, sim double")
 
 
-def _one_text(docs: DataFrame) -> DataFrame:
+def _one_text(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """doc_id and text, one row for each doc_id that isn't null; rows are grouped only if ids repeat."""
     own = docs.select("doc_id", "text").filter("doc_id is not null")
     repeated = own.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return own
-    ids = small(repeated, 8)
+    ids = small(repeated, 8, limit)
     return own.join(ids, "doc_id", "left_anti").unionByName(own.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, bands: int = BANDS, rows: int = ROWS, limit: int | None = None) -> DataFrame:
     """(doc_id, kept_id) for each document that has to go: its group's least doc_id stays."""
-    docs = _one_text(settle(docs, ["doc_id", "text"]))
+    docs = _one_text(settle(docs, ["doc_id", "text"]), limit)
     table = save_table(_band_table(docs, ngram, bands, rows), "bands")
-    w = Window.partitionBy("f0", "f1")
-    table = table.withColumn("rep", F.min("doc_id").over(w))
-    equal = table.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    spread = table.filter("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "h"))
-    bucket = Window.partitionBy("band", "h")
-    met = spread.withColumn("center", F.min("doc_id").over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
-    met = save_table(met.select("band", "h", "doc_id", "center"), "buckets")
-    ids = met.select("doc_id").distinct()
-    bag = save_table(_bag_table(docs.join(small(ids, 8), "doc_id", "left_semi"), ngram), "bags")
+    whole = table.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
+    equal = table.select("f0", "f1", "doc_id").join(whole, ["f0", "f1"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    equal = save_table(equal, "equal")
+    gone = small(equal.select(F.col("b").alias("doc_id")), 8, limit)
+    spread = table.join(gone, "doc_id", "left_anti").select("doc_id", F.posexplode("bands").alias("band", "h"))
+    sizes = spread.groupBy("band", "h").agg(F.min("doc_id").alias("center"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    met = save_table(spread.join(sizes, ["band", "h"]), "buckets")
+    bag = save_table(_bag_table(docs.join(small(met.select("doc_id").distinct(), 8, limit), "doc_id", "left_semi"), ngram), "bags")
     pairs = met.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = save_table(_verified(pairs, bag, threshold), "pairs")
-    part = connected_components(star)
+    star = save_table(_compared(pairs, bag, 0.0), "pairs")
+    linked = star.filter(F.col("sim") >= threshold).select("a", "b")
+    part = connected_components(linked)
     named = met.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket)).filter("lo <> hi").select("band", "h", "doc_id", "component", "center")
-    mixed = save_table(mixed, "mixed")
-    sides = mixed.select("band", "h", "component").distinct()
-    both = sides.withColumnRenamed("component", "ca").join(sides.withColumnRenamed("component", "cb"), ["band", "h"]).filter("ca < cb")
-    one = mixed.select("band", "h", F.col("component").alias("ca"), F.col("doc_id").alias("x"), "center")
-    two = mixed.select("band", "h", F.col("component").alias("cb"), F.col("doc_id").alias("y"))
-    rest = both.join(one, ["band", "h", "ca"]).join(two, ["band", "h", "cb"]).filter("x <> center and y <> center")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    edges = equal.unionByName(star).unionByName(_verified(rest, bag, threshold))
+    named = save_table(named.join(star.select(F.col("a").alias("center"), F.col("b").alias("doc_id"), "sim"), ["center", "doc_id"], "left").withColumn("far", 1 - F.coalesce("sim", F.lit(1.0))), "named")
+    several = named.groupBy("band", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "h")
+    mixed = save_table(named.filter("doc_id <> center").join(several, ["band", "h"]).select("band", "h", "doc_id", "component", "far"), "mixed")
+    one, two = (mixed.select("band", "h", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "far")]) for k in "ab")
+    rest = one.join(two, ["band", "h"]).filter("doc_id_a < doc_id_b and component_a <> component_b").filter(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - threshold + 1e-9)
+    rest = rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _compared(rest, bag, threshold).filter(F.col("sim") >= threshold).select("a", "b")
+    edges = equal.unionByName(linked).unionByName(more)
     return connected_components(edges).filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))
 
 
@@ -204,7 +209,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = settled.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not repeated.isEmpty():
         ids = small(repeated, 8)
-        first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in settled.columns]))
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in settled.columns]))
         one = kept.join(ids, "doc_id", "left_semi").withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
         kept = kept.join(ids, "doc_id", "left_anti").unionByName(one)
     return kept.select(*settled.columns).toDF(*docs.columns)
