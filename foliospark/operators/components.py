@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which keep the edge
     count from growing and end after a logarithmic number of rounds; each round is written to the
-    shared folder. Loops and null ends are ignored; a graph without edges gives no rows.
+    shared folder; a graph that isn't settled after ``most`` of them is an error. Loops and null ends are
+    ignored; a graph without edges gives no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = save_table(e, "edges")
@@ -31,5 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"the components weren't settled after {most} rounds")
     nodes = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
