@@ -39,15 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+#: Shuffle files go as the query ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back.
 
-    Unlike ``checkpoint()`` this runs the plan once. ``release`` deletes the files.
+    Unlike ``checkpoint()`` this runs the plan once, and its shuffle files are removed once the table is there.
+    ``release`` deletes the table.
     """
-    path = kept_path(df.sparkSession, name, uuid.uuid4().hex)
-    df.write.parquet(path)
+    path, conf = kept_path(df.sparkSession, name, uuid.uuid4().hex), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
