@@ -9,7 +9,7 @@ held out or not, on the counts of the whole corpus less its own.
 Counts cover all words of all documents. Chunks of documents are written once, as lists of words. A chunk
 sends its distinct n-grams, as sorted hashes with counts, to ranges of the hash (``RANGES`` for eight chunks, so a range
 takes about as much at any size); each range adds up its chunks' lists and answers each of
-them with the corpus counts in the order of its list; the chunk's own row meets the answers and scores its
+them with the corpus counts in the order of its list, one n after the other; the chunk's own row meets the answers and scores its
 documents. The table of counts is never held in one place, what is moved grows
 with the distinct n-grams of the chunks, and no later step depends on how the documents were split.
 
@@ -22,6 +22,8 @@ held out, the weights are learned from all documents (their own counts are delet
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,14 +59,16 @@ def _layout(first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def _gram(h: np.ndarray, first: np.ndarray, n: int, order: int) -> tuple:
+    """Sorted distinct n-grams, place of each n-gram in them, start of each, and whether a word follows it."""
+    pos, follows = _layout(first, order)[n - 1]
+    key, inverse = np.unique(words.ngrams(h, first, n)[0], return_inverse=True)
+    return key, inverse, pos, follows
+
+
 def _grams(h: np.ndarray, first: np.ndarray, order: int) -> list[tuple]:
-    """By n: sorted distinct n-grams, place of each n-gram in them, start of each, and whether a
-    word follows it."""
-    out = []
-    for n, (pos, follows) in enumerate(_layout(first, order), 1):
-        key, inverse = np.unique(words.ngrams(h, first, n)[0], return_inverse=True)
-        out.append((key, inverse, pos, follows))
-    return out
+    """``_gram`` by n."""
+    return [_gram(h, first, n, order) for n in range(1, order + 1)]
 
 
 def bucket_of(contexts: list[np.ndarray], levels: int = LEVELS) -> np.ndarray:
@@ -152,19 +156,17 @@ def _each(batches):
     words.give_back()
 
 
-def _count(chunks: DataFrame, order: int, bits: int) -> DataFrame:
-    """Answers: (part, chunk, n, corpus counts, counts with a following word); rows with chunk -1
+def _count(chunks: DataFrame, n: int, order: int, bits: int) -> DataFrame:
+    """Answers about n-grams: (part, chunk, n, corpus counts, counts with a following word); rows with chunk -1
     hold a range's count of distinct n-grams and total. A chunk has rows for the ranges it meets only."""
 
     def ask(batches):
         for chunk, h, first in _each(batches):
-            rows = []
-            for n, (key, inverse, _, follows) in enumerate(_grams(h, first, order), 1):
-                count, ctx = np.bincount(inverse, minlength=len(key)), np.bincount(inverse, follows, minlength=len(key))
-                part = (key >> U(64 - bits)).astype(np.int64)
-                cut = np.flatnonzero(np.append(np.diff(part, prepend=-1) != 0, True))
-                rows += [(int(part[i]), chunk, n, pack_sorted(key[i:j]), _small(count[i:j]), _small(ctx[i:j])) for i, j in zip(cut.tolist(), cut[1:].tolist())]
-            yield _batch(rows)
+            key, inverse, _, follows = _gram(h, first, n, order)
+            count, ctx = np.bincount(inverse, minlength=len(key)), np.bincount(inverse, follows, minlength=len(key))
+            part = (key >> U(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.append(np.diff(part, prepend=-1) != 0, True)).tolist()
+            yield _batch([(int(part[i]), chunk, n, pack_sorted(key[i:j]), _small(count[i:j]), _small(ctx[i:j])) for i, j in zip(cut, cut[1:])])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(a) for a in rows["a"]]
@@ -175,7 +177,7 @@ def _count(chunks: DataFrame, order: int, bits: int) -> DataFrame:
         stat = pd.DataFrame({"part": [rows["part"].iloc[0]], "chunk": [-1], "n": [rows["n"].iloc[0]], "a": [None], "b": [_small(np.array([len(union)]))], "c": [_small(np.array([sums[0].sum()]))]})
         return pd.concat([out, stat])
 
-    return chunks.select("chunk", "a", "b", "c").mapInArrow(ask, _ROW).groupBy("part", "n").applyInPandas(answer, _ROW)
+    return chunks.select("chunk", "a", "b", "c").mapInArrow(ask, _ROW).groupBy("part").applyInPandas(answer, _ROW)
 
 
 def _held_rows(chunks: DataFrame, order: int, share: int) -> DataFrame:
@@ -256,7 +258,8 @@ def score(docs: DataFrame, order: int = ORDER, held: int = HELD_OUT, rounds: int
     """(doc_id, words, log2_prob, bits_per_word)."""
     chunks = _chunks(settle(docs, ["doc_id", "text"]).select("doc_id", "text"), block)
     bits = max(1, (chunks.count() * RANGES // 8).bit_length())
-    answers = save_table(_count(chunks, order, bits), "answers")
+    tables = [save_table(_count(chunks, n, order, bits), f"answers{n}") for n in range(1, order + 1)]  # one at a time: less is on disk at once
+    answers = reduce(DataFrame.unionByName, tables)
     whole = answers.filter("chunk = -1 and n = 1").select("b", "c")
     numbers = lambda c: int(sum(_large(r[c])[0] for r in whole.collect()))
     vocabulary, total = numbers("b"), numbers("c")
