@@ -126,13 +126,12 @@ def paragraphs(t) -> DataFrame:
 
 @query("""SELECT doc_id, (i - 1)::INT AS pos, s AS segment FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (
   SELECT doc_id, CASE WHEN trim(r.open, e' \\t\\n\\r\\x0b\\x0c') <> '' THEN list_append(r.done, trim(r.open, e' \\t\\n\\r\\x0b\\x0c')) ELSE r.done END AS p FROM (
-    SELECT doc_id, list_reduce(list_transform(string_split(replace(text, e'\\n', e'\\n\\n'), e'\\n\\n'), lambda x: {'open': x, 'done': []::VARCHAR[], 'stop': false}),
-      lambda a, x: CASE WHEN a.stop THEN a WHEN length(a.open) < 256 THEN {'open': a.open || x.open || e'\\n\\n', 'done': a.done, 'stop': false}
-        ELSE {'open': '', 'done': list_concat(a.done, CASE WHEN length(a.open || x.open) > 512 THEN list_transform(range(0, length(a.open || x.open), 358), lambda k: trim(substr(a.open || x.open, k + 1, 512), e' \\t\\n\\r\\x0b\\x0c')) ELSE [trim(a.open || x.open, e' \\t\\n\\r\\x0b\\x0c')] END),
-              'stop': len(list_concat(a.done, CASE WHEN length(a.open || x.open) > 512 THEN list_transform(range(0, length(a.open || x.open), 358), lambda k: '') ELSE [''] END)) > 100} END,
-      {'open': '', 'done': []::VARCHAR[], 'stop': false}) AS r FROM documents)))""")
+    SELECT doc_id, list_reduce(list_transform(string_split(replace(text, e'\\n', e'\\n\\n'), e'\\n\\n'), lambda x: {'open': x, 'done': []::VARCHAR[]}),
+      lambda a, x: CASE WHEN length(a.open) < 256 THEN {'open': a.open || x.open || e'\\n\\n', 'done': a.done}
+        ELSE {'open': '', 'done': list_concat(a.done, CASE WHEN length(a.open || x.open) > 512 THEN list_transform(range(0, length(a.open || x.open), 358), lambda k: trim(substr(a.open || x.open, k + 1, 512), e' \\t\\n\\r\\x0b\\x0c')) ELSE [trim(a.open || x.open, e' \\t\\n\\r\\x0b\\x0c')] END)} END,
+      {'open': '', 'done': []::VARCHAR[]}) AS r FROM documents)))""")
 def text_segments(t):
-    s = text.segments(F.col("body"))
+    s = text.segments(F.col("body"), most=None)
     return paragraphs(t).select("doc_id", F.posexplode(s).alias("pos", "segment"))
 
 
