@@ -7,7 +7,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..cells import CELL, cells
 from ..runtime import BROADCAST_BYTES
 
 
@@ -16,55 +19,84 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def knn(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", group: str | None = None, drop_self: bool = False, block: int = 4096, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(query, id, distance, rank): the k rows of least cosine distance, exact, ties by id.
+#: More than single precision and rounding to 6 digits can move a cosine.
+_SLACK = np.float32(3e-5)
 
-    With a ``group`` only rows of the same group are compared (cogrouped, no pair leaves its task).
-    Else the data are cut into slices of a checked size; each slice is broadcast once as one matrix,
-    multiplied with blocks of queries, and only the k best of each slice go into the merge.
-    """
-    kind = data.schema[key].dataType.simpleString()
-    want = k + 1 if drop_self else k
 
-    def top(qi: np.ndarray, qm: np.ndarray, di: np.ndarray, dm: np.ndarray) -> pd.DataFrame:
-        parts = []
-        for lo in range(0, len(qi), block):
-            d = np.round(1 - qm[lo : lo + block] @ dm.T, 6)
-            n = min(want, len(di))
-            near = np.argpartition(d, n - 1, 1)[:, :n] if n < len(di) else np.broadcast_to(np.arange(n), (len(d), n))
-            limit_ = np.take_along_axis(d, near, 1).max(1, initial=-np.inf)
-            r, c = np.nonzero(d <= limit_[:, None])
-            order = np.lexsort((di[c], d[r, c], r))
-            r, c = r[order], c[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[place < n], c[place < n]
-            parts.append(pd.DataFrame({"query": qi[lo : lo + block][r], "id": di[c], "distance": d[r, c]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query": qi[:0], "id": di[:0], "distance": np.zeros(0)})
-
-    rows = lambda p: (p[key].to_numpy(), _unit(np.stack(p[vector].to_numpy()).astype(np.float64)))
-    q, d = queries.select(*([group] if group else []), key, vector), data.select(*([group] if group else []), key, vector)
-    schema = f"query {kind}, id {kind}, distance double"
-    if group:
-        both = q.groupBy(group).cogroup(d.groupBy(group)).applyInPandas(lambda a, b: top(*rows(a), *rows(b)) if len(a) and len(b) else top(np.zeros(0), np.zeros((0, 1)), np.zeros(0), np.zeros((0, 1))), schema)
-    else:
-        n = d.count()
-        width = len(d.select(vector).first()[0]) if n else 1
-        slices, both = 1 + n * (8 * width + 8) // limit, None
-        for s in range(slices):
-            part = d.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == s).toPandas() if slices > 1 else d.toPandas()
-            if not len(part):
-                continue
-            bc = data.sparkSession.sparkContext.broadcast(rows(part))
+def _nearest(qi: np.ndarray, qm: np.ndarray, di: np.ndarray, dm: np.ndarray, want: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the ``want`` nearest rows of ``dm`` for each row of ``qm``, all of unit length; ties by id.
 
-            def run(batches, bc=bc):
-                for p in batches:
-                    if len(p):
-                        yield top(*rows(p), *bc.value)
+    Single precision rules out, for ``block`` queries and four times as many rows at once, all that can't be among the
+    nearest so far; distances of the rest are in double precision.
+    """
+    out: list = []
+    n = min(want, len(di))
+    d32 = dm.astype(np.float32)
+    for lo in range(0, len(qi) if n else 0, block):
+        q, q32 = qm[lo : lo + block], qm[lo : lo + block].astype(np.float32)
+        bound = np.full(len(q), -np.inf, np.float32)
+        r = np.zeros(0, np.int64)
+        c, d = r, np.zeros(0)
+        for at in range(0, len(di), 4 * block):
+            s = q32 @ d32[at : at + 4 * block].T
+            if s.shape[1] >= n:
+                np.maximum(bound, np.partition(s[:, : 8 * n], -n, 1)[:, -n] - _SLACK, out=bound)
+            if at == 0 and s.shape[1] >= n:
+                np.maximum(bound, np.partition(s, -n, 1)[:, -n] - _SLACK, out=bound)
+            hit = np.flatnonzero(s >= bound[:, None])
+            if not len(hit):
+                continue
+            nr, nc = np.divmod(hit, s.shape[1])
+            nc += at
+            for k in range(0, len(nr), 1 << 16):
+                x, y = nr[k : k + (1 << 16)], nc[k : k + (1 << 16)]
+                r, c, d = np.concatenate([r, x]), np.concatenate([c, y]), np.concatenate([d, np.round(1 - np.einsum("ij,ij->i", q[x], dm[y]), 6)])
+                order = np.lexsort((di[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                kept = place < n
+                r, c, d, place = r[kept], c[kept], d[kept], place[kept]
+                full = place == n - 1
+                bound[r[full]] = np.maximum(bound[r[full]], (1 - d[full]).astype(np.float32) - _SLACK)
+        out.append((qi[lo : lo + block][r], di[c], d))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (qi[:0], di[:0], np.zeros(0))
+
+
+def knn(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", group: str | None = None, drop_self: bool = False, block: int = 1024, limit: int = BROADCAST_BYTES // 2, sizes: DataFrame | None = None) -> DataFrame:
+    """(query, id, distance, rank): the k rows of least cosine distance, exact, ties by id.
 
-            got = q.mapInPandas(run, schema)
-            both = got if both is None else both.unionByName(got)
-        if both is None:
-            both = data.sparkSession.createDataFrame([], schema)
+    With a ``group`` only rows of the same group are compared. Queries and data are cut into slices of about ``limit``
+    bytes; each pair of slices is a cell of one cogroup, multiplied in blocks of ``block`` queries, and only the k best
+    of each cell go into the merge: nothing comes to the driver, and a task holds two slices whatever the size of the
+    table. ``sizes``: a cheaper table with the groups of both sides, to count instead of them.
+    """
+    kind = data.schema[key].dataType
+    want = k + 1 if drop_self else k
+    on = [group] if group else ["_all"]
+    side = lambda df: df.select(F.col(group) if group else F.lit(0).alias("_all"), key, vector)
+    q, d = side(queries), side(data)
+    first = data.select(F.size(vector)).first()
+    most = max(1, limit // (8 * (first[0] if first else 1) + 8))
+    if group is None:
+        # a cell for each core and more, unless they would have less than 1024 rows
+        n, cores = max(queries.count(), data.count()), data.sparkSession.sparkContext.defaultParallelism
+        most = min(most, max(1024, -(-n // max(1, round((4 * cores) ** 0.5)))))
+    ql, dl = cells(q, d, on, key, key, most, sizes and (sizes, sizes))
+    keys = [*on, *CELL]
+    if group is None:
+        n = 2 * (-(-n // most)) ** 2
+        ql, dl = ql.repartition(n, *keys), dl.repartition(n, *keys)
+    out = pa.schema([("query", to_arrow_type(kind)), ("id", to_arrow_type(kind)), ("distance", pa.float64())])
+
+    def rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        v = t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return t.column(key).to_numpy(), _unit(v.reshape(t.num_rows, -1)) if t.num_rows else np.zeros((0, 1))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        got = _nearest(*rows(a), *rows(b), want, block) if a.num_rows and b.num_rows else [[], [], []]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(got, out)], schema=out)
+
+    both = ql.groupBy(*keys).cogroup(dl.groupBy(*keys)).applyInArrow(run, T.StructType([T.StructField("query", kind), T.StructField("id", kind), T.StructField("distance", T.DoubleType())]))
     if drop_self:
         both = both.filter("query <> id")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
@@ -149,6 +181,4 @@ def vectorise(df: DataFrame, text: str, name: str = "vector", embed=hashing_vect
             v = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * width), pa.array(m.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, v], names=[*b.schema.names, name])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))

@@ -1,9 +1,13 @@
 """Queries use every file and every row of their tables."""
 
+import tracemalloc
 from itertools import groupby
 
+import numpy as np
+
 import foliospark.plans.extras  # noqa: F401
-from foliospark.operators import knowledge
+from foliospark.cells import CELL, cells
+from foliospark.operators import knowledge, vectors
 from foliospark.plans.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
 
@@ -64,3 +68,35 @@ def test_conversations_are_read_to_their_last_turn(spark, sf, tmp_path):
 def test_segment_vectors_cover_long_documents(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join("x" * 300 for _ in range(400)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.pos for r in QUERIES["segment_vectors"](spark, str(tmp_path)).collect()) == list(range(400))
+
+
+def test_vectors_are_compared_in_cells(spark, monkeypatch):
+    """Nothing comes to the driver, and no task holds a whole group."""
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", None)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(90, 4))
+    v[40:60] = v[0]
+    df = spark.createDataFrame([(k, k // 80, x.tolist()) for k, x in enumerate(v)], "id long, g int, vector array<float>")
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 6)
+    for group in (None, "g"):
+        got = {}
+        for x in vectors.knn(df, df, 3, group=group, drop_self=True, limit=400, block=2).collect():
+            got.setdefault(x.query, []).append((x.rank, x.id))
+        for q in range(90):
+            own = [k for k in range(90) if k != q and (group is None or k // 80 == q // 80)]
+            assert [k for _, k in sorted(got[q])] == sorted(own, key=lambda k: (d[q, k] + 0.0, k))[:3]
+    left, right = cells(df, df, ["g"], "id", "id", 30)
+    most = lambda x: x.groupBy("g", *CELL).count().agg({"count": "max"}).first()[0]
+    assert max(most(left), most(right)) < 60 and left.select(*CELL).distinct().count() == 9
+
+
+def test_neighbours_take_little_memory():
+    r = np.random.default_rng(0)
+    q, d = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.normal(size=(512, 8)), r.normal(size=(40_000, 8))))
+    tracemalloc.start()
+    got = vectors._nearest(np.arange(512), q, np.arange(40_000), d, 3, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(got[0]) == 3 * 512
