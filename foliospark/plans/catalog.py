@@ -246,7 +246,7 @@ def indicator_full_outer(t):
 def nearest_match(t):
     p = t("part").withColumn("k", F.col("p_size") % 25)
     s = t("supplier").withColumn("k", F.col("s_nationkey"))
-    return relational.nearest(p, s, ["k"], "p_partkey", "s_suppkey", r6(F.abs(F.col("a.p_retailprice") - F.col("b.s_acctbal")))).select("p_partkey", "match", r6(F.col("distance")).alias("distance"))
+    return relational.nearest(p, s, ["k"], "p_partkey", "s_suppkey", [("p_retailprice", "s_acctbal")], digits=6)
 
 
 @query("""SELECT 'with' AS side, c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)

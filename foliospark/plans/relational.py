@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..cells import CELL, cells
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -20,21 +26,105 @@ def merged(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return out.withColumn("_merge", flag).drop("_l", "_r")
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, distance: Column) -> DataFrame:
-    """For each left row (alias a) the right row (alias b) of least distance with the same key; ties by id."""
-    a, b = left.alias("a"), right.alias("b")
-    j = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
-    best = F.min(F.struct(distance.alias("distance"), F.col(f"b.{right_id}").alias("match")))
-    return j.groupBy(F.col(f"a.{left_id}").alias(left_id)).agg(best.alias("m")).select(left_id, "m.match", "m.distance")
+#: Rows of a cell's side, candidate pairs held at once, and what rounding to 6 digits may hide.
+BLOCK, PAIRS, HIDDEN = 1 << 17, 1 << 20, 2e-6
+
+
+def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, id, distance) of the rows of ``b`` at the least distance from each row of ``a``, up to ``HIDDEN``:
+    ``start`` and the sum of absolute differences. Of equal rows of ``b`` the least id counts.
+
+    That sum is at least the difference of the rows' sums, so only a range of the sorted sums is looked at.
+    """
+    order = np.lexsort((ids, *b.T))
+    b, ids = b[order], ids[order]
+    new = np.append(True, (b[1:] != b[:-1]).any(1))
+    b, ids = b[new], ids[new]
+    order = np.argsort(b.sum(1), kind="stable")
+    b, ids = b[order], ids[order]
+    sums, own = b.sum(1), a.sum(1)
+
+    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = np.full(len(x), start)
+        for c in range(x.shape[1]):
+            d += np.abs(x[:, c] - y[:, c])
+        return d
+
+    near, best = np.searchsorted(sums, own), np.full(len(a), np.inf)
+    for step in range(-4, 4):
+        best = np.minimum(best, distance(a, b[np.clip(near + step, 0, len(b) - 1)]))
+    reach = best - start + HIDDEN + 1e-9 * (np.abs(own) + best)
+    lo, hi = np.searchsorted(sums, own - reach), np.searchsorted(sums, own + reach, "right")
+    ends, out, k = np.cumsum(hi - lo), [], 0
+    while k < len(a):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        n = hi[k:to] - lo[k:to]
+        row = np.repeat(np.arange(k, to), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[k:to], n)
+        d = distance(a[row], b[at])
+        least = np.minimum.reduceat(d, np.cumsum(n) - n)
+        kept = d <= np.repeat(least, n) + HIDDEN
+        out.append((row[kept], ids[at[kept]], d[kept]))
+        k = to
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, values: list[tuple[str, str]], level: tuple[str, str] | None = None, digits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(left_id, match, distance): for each left row the right row of the same key with the least distance, rounded to
+    ``digits``, ties by id; a null distance is the greatest.
+
+    The distance is the sum of the absolute differences of ``values``, pairs of a left and a right column, and 1e7 times
+    that of ``level``. Groups are cut into ``cells``, within which rows are sorted: pairs aren't enumerated.
+    """
+    pair = [*([level] if level else []), *values]
+    side = lambda df, id, k: df.select(*on, F.col(id).alias("id"), *[F.col(p[k]).cast("double").alias(f"v{i}") for i, p in enumerate(pair)])
+    a, b = cells(side(left, left_id, 0), side(right, right_id, 1), on, "id", "id", block)
+    kinds = [to_arrow_type(df.schema[c].dataType) for df, c in ((left, left_id), (right, right_id))]
+    out = pa.schema([(left_id, kinds[0]), ("match", kinds[1]), ("d", pa.float64())])
+    keys = [*on, *CELL]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not (x.num_rows and y.num_rows):
+            return out.empty_table()
+        (xi, xv), (yi, yv) = ((t.column("id").to_numpy(), np.column_stack([t.column(f"v{i}").to_numpy() for i in range(len(pair))])) for t in (x, y))
+        full, whole = ~np.isnan(xv).any(1), ~np.isnan(yv).any(1)
+        none = np.ones(len(xi), bool) if not whole.any() else ~full
+        parts = [(xi[none], np.full(none.sum(), yi.min()), np.full(none.sum(), np.nan))]
+        xi, xv, yi, yv = xi[full], xv[full], yi[whole], yv[whole]
+        if level is None and len(yi) and len(xi):
+            r, m, d = _closest(xv, yv, yi)
+            parts.append((xi[r], m, d))
+        elif len(yi) and len(xi):
+            levels = np.unique(yv[:, 0])
+            places = {p: np.flatnonzero(yv[:, 0] == p) for p in levels}
+            for own in np.unique(xv[:, 0]):
+                mine = np.flatnonzero(xv[:, 0] == own)
+                best = np.full(len(mine), np.inf)
+                for p in levels[np.argsort(np.abs(levels - own), kind="stable")]:
+                    more = abs(p - own) * 1e7
+                    left_ = np.flatnonzero(best + HIDDEN >= more)
+                    if not len(left_):
+                        break
+                    r, m, d = _closest(xv[mine[left_], 1:], yv[places[p], 1:], yi[places[p]], more)
+                    np.minimum.at(best, left_[r], d)
+                    parts.append((xi[mine[left_[r]]], m, d))
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        return pa.Table.from_arrays([pa.array(cols[0], kinds[0]), pa.array(cols[1], kinds[1]), pa.array(cols[2], pa.float64(), from_pandas=True)], schema=out)
+
+    schema = T.StructType([T.StructField(left_id, left.schema[left_id].dataType), T.StructField("match", right.schema[right_id].dataType), T.StructField("d", T.DoubleType())])
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+    d = F.col("d") if digits is None else F.round("d", digits)
+    best = F.min(F.struct(F.col("d").isNull(), d.alias("distance"), F.col("match")))
+    return found.groupBy(left_id).agg(best.alias("m")).select(left_id, "m.match", "m.distance")
 
 
 def match_labels(labels: DataFrame, detected: DataFrame, pixels: int = 3) -> DataFrame:
     """Labels with the detected table they belong to: by content md5 on the same page, else the nearest
     box of the same file within ``4 * pixels`` (page counts 1e7), unless the label is a good one."""
     keys = ["md5", "page", "file"]
-    exact = labels.join(detected.select(*keys, F.col("id").alias("match_md5")), keys, "left").groupBy("label_id").agg(F.min("match_md5").alias("match_md5"))
-    d = sum((F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in ("x0", "y0", "x1", "y1")), F.abs(F.col("a.page") - F.col("b.page")) * F.lit(1e7))
-    near = nearest(labels, detected, ["file"], "label_id", "id", d)
+    first = detected.groupBy(*keys).agg(F.min("id").alias("match_md5"))
+    exact = labels.join(first, keys).groupBy("label_id").agg(F.min("match_md5").alias("match_md5"))
+    near = nearest(labels, detected, ["file"], "label_id", "id", [(c, c) for c in ("x0", "y0", "x1", "y1")], ("page", "page"))
     out = labels.join(exact, "label_id", "left").join(near, "label_id", "left")
     close = F.col("match_md5").isNull() & (F.col("distance") <= 4 * pixels) & ~F.col("classification").isin("all_good", "all_good-")
     return out.withColumn("match_id", F.coalesce("match_md5", F.when(close, F.col("match"))))

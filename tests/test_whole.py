@@ -1,13 +1,16 @@
 """Queries use every file and every row of their tables."""
 
+import time
 import tracemalloc
 from itertools import groupby
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import foliospark.plans.extras  # noqa: F401
 from foliospark.cells import CELL, cells
 from foliospark.operators import knowledge, vectors
+from foliospark.plans import relational
 from foliospark.plans.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
 
@@ -100,3 +103,34 @@ def test_neighbours_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6 and len(got[0]) == 3 * 512
+
+
+def test_nearest_rows_without_all_pairs(spark):
+    """Cut groups, ties, ties after rounding, nulls, other pages: as by all pairs."""
+    r = np.random.default_rng(5)
+    box = lambda n, k: [(i, "f" if r.random() < 0.9 else "g", None if r.random() < 0.05 else int(r.integers(0, 4)), *[float(x) for x in r.integers(0, 12, 4)]) for i in range(k, k + n)]
+    a, b = box(70, 0), [*box(40, 100), (900, "f", 9, 1.0, 1.0, 1.0, 1.0)]
+    a += [(80, "f", 30, 1.0, 1.0, 1.0, 1.0), (81, None, 1, 1.0, 1.0, 1.0, 1.0), (82, "none", 1, 1.0, 1.0, 1.0, 1.0)]
+    left, right = (spark.createDataFrame(x, f"{i} long, file string, page int, x0 double, y0 double, x1 double, y1 double") for x, i in ((a, "l"), (b, "r")))
+
+    def want(x, cost):
+        each = [(d is None, d, y[0]) for y in b if y[1] == x[1] for d in [None if None in (*x, *y) else cost(x, y)]]
+        return min(each, key=lambda e: (e[0], e[1] or 0, e[2]), default=None)
+
+    cost = lambda x, y: abs(x[2] - y[2]) * 1e7 + sum(abs(p - q) for p, q in zip(x[3:], y[3:]))
+    for block in (1 << 17, 11):
+        got = {x.l: (x.distance, x.match) for x in relational.nearest(left, right, ["file"], "l", "r", [(c, c) for c in ("x0", "y0", "x1", "y1")], ("page", "page"), block=block).collect()}
+        assert got == {x[0]: w[1:] for x in a if (w := want(x, cost))}
+    close = spark.createDataFrame([(1, 1.0), (2, 1.0000001), (3, 5.0), (4, None)], "r long, v double").withColumn("k", F.lit(0))
+    asked = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, None)], "l long, v double").withColumn("k", F.lit(0))
+    got = {(x.l, x.match, x.distance) for x in relational.nearest(asked, close, ["k"], "l", "r", [("v", "v")], digits=6).collect()}
+    assert got == {(1, 1, 1.0), (2, 1, 2.0), (3, 1, None)}
+
+
+def test_nearest_of_large_groups(spark):
+    """25,000 rows a side in one group: 625 million pairs, if all were made."""
+    a = spark.range(25_000).select("id", F.lit("f").alias("file"), F.lit(1).alias("page"), *[(F.col("id") * 7 % 400).cast("double").alias(c) for c in ("x0", "x1")], *[(F.col("id") * 11 % 300).cast("double").alias(c) for c in ("y0", "y1")], F.lit("m").alias("md5"))
+    labels = a.withColumnRenamed("id", "label_id").withColumn("classification", F.lit("table"))
+    began = time.time()
+    got = relational.match_labels(labels, a).agg(F.count("*"), F.max("match_md5"), F.max("distance"), F.max(F.col("match") - F.col("label_id") % 1200)).first()
+    assert tuple(got) == (25_000, 0, 0.0, 0) and time.time() - began < 40
