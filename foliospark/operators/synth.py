@@ -6,10 +6,17 @@ A row depends on (seed, id) alone: any partitioning gives the same rows.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..cells import slices
 
 STREETS = "Oak Elm Mill Station Harbour Castle Garden Market River Forest".split()
 TOWNS = "Northam Eastwick Lindau Marbach Torrevieja Avignon Westerly Oldenburg".split()
@@ -77,16 +84,43 @@ def generate(spark: SparkSession, n: int, seed: int = 0, weights: dict[str, floa
     return spark.range(n).mapInPandas(run, "id long, kind string, text string")
 
 
-def random_chunks(text: Column, seed: int = 0, smallest: int = 20, largest: int = 80) -> Column:
-    """Array of chunks of hashed sizes that together are the text."""
-    n = F.ceil(F.length(text) / smallest).cast("int")
-    size = lambda k: F.lit(smallest) + F.pmod(F.xxhash64(text, k, F.lit(seed)), F.lit(largest - smallest + 1)).cast("int")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _hash_ints(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 32-bit integers, after what has the hash ``seeds``."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    u = np.uint64
+    h = (seeds + p5 + u(4)) ^ (values.astype(u) & u(0xFFFFFFFF)) * p1
+    h = (h << u(23) | h >> u(41)) * p2 + p3
+    h = (h ^ h >> u(33)) * p2
+    h = (h ^ h >> u(29)) * p3
+    return h ^ h >> u(32)
 
-    def step(a: Column, k: Column) -> Column:
-        return F.when(a["at"] >= F.length(text), a).otherwise(F.struct((a["at"] + size(k)).alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, size(k)))).alias("out")))
 
-    return F.aggregate(F.sequence(F.lit(0), n), start, step, lambda a: a["out"])
+def random_chunks(text: Column, seed: int = 0, smallest: int = 20, largest: int = 80) -> Column:
+    """Array of chunks of hashed sizes that together are the text.
+
+    The size of chunk k is ``smallest + pmod(xxhash64(text, k, seed), largest - smallest + 1)``; the text is hashed once.
+    """
+    kind = T.ArrayType(T.StringType())
+
+    def chunks(texts: list, hashes: np.ndarray) -> list:
+        n = np.array([0 if x is None else -(-len(x) // smallest) for x in texts])
+        ends = np.cumsum(n)
+        k = np.arange(n.sum()) - np.repeat(ends - n, n)
+        h = _hash_ints(np.full(len(k), seed), _hash_ints(k, np.repeat(hashes, n))).view(np.int64)
+        size, out = smallest + h % (largest - smallest + 1), []
+        for x, end, m in zip(texts, ends, n):
+            cut = [0, *np.cumsum(size[end - m : end]).tolist()]
+            out.append(None if x is None else [x[a:b] for a, b in zip(cut, cut[1:]) if a < len(x)])
+        return out
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for b, h in batches:
+            hashes, at = h.to_numpy(zero_copy_only=False).view(np.uint64), 0
+            for s in slices(b):
+                yield pa.array(chunks(s.to_pylist(), hashes[at : at + len(s)]), to_arrow_type(kind))
+                at += len(s)
+
+    return F.arrow_udf(run, kind)(text, F.xxhash64(text))
 
 
 def text_sample(text: Column, size: int, seed: int = 0) -> Column:

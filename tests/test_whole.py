@@ -5,11 +5,12 @@ import tracemalloc
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import foliospark.plans.extras  # noqa: F401
-from foliospark.cells import CELL, cells
-from foliospark.operators import knowledge, vectors
+from foliospark.cells import CELL, SLICE_BYTES, cells, slices
+from foliospark.operators import knowledge, synth, vectors
 from foliospark.plans import relational
 from foliospark.plans.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
@@ -134,3 +135,28 @@ def test_nearest_of_large_groups(spark):
     began = time.time()
     got = relational.match_labels(labels, a).agg(F.count("*"), F.max("match_md5"), F.max("distance"), F.max(F.col("match") - F.col("label_id") % 1200)).first()
     assert tuple(got) == (25_000, 0, 0.0, 0) and time.time() - began < 40
+
+
+def test_results_of_texts_are_built_in_slices():
+    """A batch of 4000 texts holds the objects of a part of them only."""
+    column, live, most = pa.array(["word " * 200] * 4000), 0, 0
+    for s in slices(column):
+        most, live = max(most, len(s)), live + len(s)
+    assert live == 4000 and most * 1000 <= SLICE_BYTES
+    assert [len(s) for s in slices(pa.array(["x" * (SLICE_BYTES * 2), None, "a"]))] == [1, 2] and [len(s) for s in slices(pa.array([], pa.string()))] == [0]
+
+
+def test_random_chunks_are_those_of_the_hash(spark):
+    texts = ["", None, "a", "ä€" * 700, "x" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    size = 20 + F.pmod(F.xxhash64("text", F.col("i").cast("int"), F.lit(0)), F.lit(61))
+    sizes = {(r.k, r.i): r.n for r in df.join(spark.range(5001).withColumnRenamed("id", "i")).filter(F.col("i") <= F.length("text") / 20).select("k", "i", size.alias("n")).collect()}
+    began = time.time()
+    got = {r.k: r.c for r in df.select("k", synth.random_chunks(F.col("text")).alias("c")).collect()}
+    assert time.time() - began < 20
+    for k, x in enumerate(texts):
+        want, at = [], 0
+        while x and at < len(x):
+            want.append(x[at : at + sizes[k, len(want)]])
+            at += sizes[k, len(want) - 1]
+        assert got[k] == (None if x is None else want)
