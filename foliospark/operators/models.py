@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cells import mapped
+
 _STOP = {
     "en": "the of and to in is that it was for on are as with they at be this have from or by but not".split(),
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an".split(),
@@ -28,11 +30,7 @@ def guess_language(text: str | None) -> str:
 
 
 def language(text: str, detect: Callable[[str | None], str] = guess_language) -> Column:
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(detect)
-
-    return run(text)
+    return mapped(detect, T.StringType(), text)
 
 
 def guess_block(text: str | None) -> str:
@@ -46,11 +44,7 @@ def guess_block(text: str | None) -> str:
 def label_blocks(df: DataFrame, text: str = "text", classify: Callable[[str | None], str] = guess_block) -> DataFrame:
     """``df`` with ``labels``, an array of one label for each block."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [classify(x)])
-
-    return df.withColumn("labels", run(text))
+    return df.withColumn("labels", mapped(lambda x: [classify(x)], T.ArrayType(T.StringType()), text))
 
 
 def addresses(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,19 +54,14 @@ def addresses(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 def overlap_scores(text: str | None, labels: Sequence[str]) -> dict[str, float]:
     """Share of a label's letter trigrams that the text has: the default zero-shot score."""
     grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
-    t = grams((text or "").lower())
-    return {x: round(len(grams(x.lower()) & t) / max(1, len(grams(x.lower()))), 6) for x in labels}
+    t = (text or "").lower()
+    return {x: round(sum(g in t for g in grams(x.lower())) / max(1, len(grams(x.lower()))), 6) for x in labels}
 
 
 def zero_shot(text: str, labels: Sequence[str], scorer: Callable[[str | None, Sequence[str]], dict] = overlap_scores) -> Column:
     """Score of each label as a map."""
     labels = list(labels)
-
-    @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: scorer(x, labels))
-
-    return run(text)
+    return mapped(lambda x: scorer(x, labels), T.MapType(T.StringType(), T.DoubleType()), text)
 
 
 def answer_windows(text: Column, size: int = 400, overlap: int = 50) -> Column:
@@ -106,12 +95,8 @@ def answers(df: DataFrame, questions: Sequence[str], text: str = "text", model:
     """``df`` with ``answers``: for each question a list of (answer, score), best first."""
     questions = list(questions)
     kind = T.ArrayType(T.ArrayType(T.StructType([T.StructField("answer", T.StringType()), T.StructField("score", T.DoubleType())])))
-
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [[{"answer": a, "score": float(b)} for a, b in model(q, t)] for q in questions])
-
-    return df.withColumn("answers", run(text))
+    one = lambda t: [[{"answer": a, "score": float(b)} for a, b in model(q, t)] for q in questions]
+    return df.withColumn("answers", mapped(one, kind, text))
 
 
 PROMPT = ("# Instruction: below is a question, a task or a conversation; write a fitting answer.\n\n## Prompt:\n\n", "\n\n## Input:\n\n", "\n\n## Result:\n\n")
