@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cells import mapped
+from ..runtime import save_table
+
 TOKEN = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("dep", T.StringType()), T.StructField("head", T.IntegerType()), T.StructField("sent", T.IntegerType()), T.StructField("ent", T.StringType())]))
 _DET = {"the", "a", "an", "this", "that", "der", "die", "das", "le", "la", "les", "un", "une", "el", "los", "las"}
 _PREP = {"of", "in", "on", "at", "to", "for", "with", "by", "from", "von", "zu", "mit", "de", "du", "en", "por", "para"}
@@ -60,22 +62,12 @@ def rule_tokens(text: str | None) -> list[dict]:
 
 def annotate(df: DataFrame, text: str = "text", annotator: Callable[[str | None], list[dict]] = rule_tokens) -> DataFrame:
     """``df`` with ``tokens`` by a pluggable annotator."""
-
-    @F.pandas_udf(TOKEN)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(annotator)
-
-    return df.withColumn("tokens", run(text))
+    return df.withColumn("tokens", tokens_of(text, annotator))
 
 
 def tokens_of(text, annotator: Callable[[str | None], list[dict]] = rule_tokens):
     """Column of the annotated tokens of a text."""
-
-    @F.pandas_udf(TOKEN)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(annotator)
-
-    return run(text)
+    return mapped(annotator, TOKEN, text)
 
 
 def entities_of(text, annotator: Callable[[str | None], list[dict]] = rule_tokens):
@@ -88,11 +80,7 @@ def entities_of(text, annotator: Callable[[str | None], list[dict]] = rule_token
                 out.setdefault(x["ent"], []).append(x["text"].strip())
         return out
 
-    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
-
-    return run(text)
+    return mapped(one, T.MapType(T.StringType(), T.ArrayType(T.StringType())), text)
 
 
 def token_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -138,6 +126,7 @@ def document_graph(tokens: DataFrame, rel: DataFrame, coreferences: DataFrame |
         named = named.join(coreferences.select(key, "i", "group"), [key, "i"], "left").withColumn("group", F.coalesce("group", "i"))
     else:
         named = named.withColumn("group", F.col("i"))
+    named = save_table(named, "named")
     node = lambda c: F.concat(F.col(key).cast("string"), F.lit(":t"), c.cast("string"))
     groups = named.groupBy(key, "group").agg(F.mode("text", deterministic=True).alias("label"))
     docs = tokens.select(key).distinct()

@@ -62,21 +62,24 @@ def _nearest(qi: np.ndarray, qm: np.ndarray, di: np.ndarray, dm: np.ndarray, wan
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (qi[:0], di[:0], np.zeros(0))
 
 
-def knn(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", group: str | None = None, drop_self: bool = False, block: int = 1024, limit: int = BROADCAST_BYTES // 2, sizes: DataFrame | None = None) -> DataFrame:
+def knn(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", group: str | None = None, drop_self: bool = False, block: int = 1024, limit: int = BROADCAST_BYTES // 2, sizes: DataFrame | None = None, width: int | None = None) -> DataFrame:
     """(query, id, distance, rank): the k rows of least cosine distance, exact, ties by id.
 
     With a ``group`` only rows of the same group are compared. Queries and data are cut into slices of about ``limit``
     bytes; each pair of slices is a cell of one cogroup, multiplied in blocks of ``block`` queries, and only the k best
     of each cell go into the merge: nothing comes to the driver, and a task holds two slices whatever the size of the
-    table. ``sizes``: a cheaper table with the groups of both sides, to count instead of them.
+    table. ``sizes``: a cheaper table with the groups of both sides, to count instead of them; ``width``: of the vectors,
+    where it is known.
     """
     kind = data.schema[key].dataType
     want = k + 1 if drop_self else k
     on = [group] if group else ["_all"]
     side = lambda df: df.select(F.col(group) if group else F.lit(0).alias("_all"), key, vector)
     q, d = side(queries), side(data)
-    first = data.select(F.size(vector)).first()
-    most = max(1, limit // (8 * (first[0] if first else 1) + 8))
+    if width is None:
+        first = data.select(F.size(vector)).first()
+        width = first[0] if first else 1
+    most = max(1, limit // (8 * width + 8))
     if group is None:
         # a cell for each core and more, unless they would have less than 1024 rows
         n, cores = max(queries.count(), data.count()), data.sparkSession.sparkContext.defaultParallelism

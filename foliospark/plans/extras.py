@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..bag import Bag
 from ..functions import structs, text
 from ..operators import elements, knowledge, models, synth, tables, vectors
-from ..runtime import shared_dir
+from ..runtime import save_table, shared_dir
 from ..sources import files, markup
 from ..streaming import streams
 from . import relational
@@ -133,7 +133,7 @@ def tokens(t) -> DataFrame:
 
 @query()
 def semantic_relations(t):
-    return knowledge.relations(tokens(t), "conv_id")
+    return knowledge.relations(save_table(tokens(t), "tokens"), "conv_id")
 
 
 @query()
@@ -147,16 +147,20 @@ def entities_by_label(t):
     return e.select("conv_id", F.map_keys("entities").alias("labels"), F.transform(F.map_values("entities"), lambda x: F.size(x)).alias("counts"))
 
 
+def conversation_graph(t) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges; every turn is annotated once, and relations are joined once."""
+    tok = save_table(tokens(t), "tokens")
+    return knowledge.document_graph(tok, save_table(knowledge.relations(tok, "conv_id"), "relations"), key="conv_id")
+
+
 @query()
 def document_graph_edges(t):
-    tok = tokens(t)
-    return knowledge.document_graph(tok, knowledge.relations(tok, "conv_id"), key="conv_id")[1]
+    return conversation_graph(t)[1]
 
 
 @query()
 def document_graph_vertices(t):
-    tok = tokens(t)
-    return knowledge.document_graph(tok, knowledge.relations(tok, "conv_id"), key="conv_id")[0]
+    return conversation_graph(t)[0]
 
 
 @query("SELECT doc_id, lang, CASE WHEN lang IN ('en', 'zh') THEN lang || '_core_web_md' ELSE lang || '_core_news_md' END AS model FROM documents")
@@ -223,9 +227,9 @@ def title_lines(t):
 
 @query()
 def keywords_textrank(t):
-    c = knowledge.noun_chunks(tokens(t), "conv_id").select("conv_id", (F.shiftleft("conv_id", 32) + F.col("start")).alias("id"), "chunk")
+    c = save_table(knowledge.noun_chunks(tokens(t), "conv_id").select("conv_id", (F.shiftleft("conv_id", 32) + F.col("start")).alias("id"), "chunk"), "chunks")
     v = vectors.vectorise(c, "chunk")
-    e = vectors.similarity_graph(v.select("conv_id", "id", "vector"), 4, 0.2, group="conv_id").withColumn("conv_id", F.shiftright("src", 32))
+    e = vectors.similarity_graph(v.select("conv_id", "id", "vector"), 4, 0.2, group="conv_id", sizes=c, width=64).withColumn("conv_id", F.shiftright("src", 32))
     return vectors.top_keywords(vectors.pagerank_by(c, e, "conv_id").join(c.select("id", "chunk"), "id"), "chunk", "conv_id")
 
 

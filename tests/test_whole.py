@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import foliospark.plans.extras  # noqa: F401
 from foliospark.cells import CELL, SLICE_BYTES, cells, slices
-from foliospark.operators import knowledge, synth, vectors
+from foliospark.operators import knowledge, models, synth, vectors
 from foliospark.plans import relational
 from foliospark.plans.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
@@ -160,3 +160,33 @@ def test_random_chunks_are_those_of_the_hash(spark):
             want.append(x[at : at + sizes[k, len(want)]])
             at += sizes[k, len(want) - 1]
         assert got[k] == (None if x is None else want)
+
+
+def test_annotations_leave_slice_by_slice(spark):
+    """Results that are alive in the worker while a text is annotated: those of some slices, not of its whole batch."""
+
+    class Kept(list):
+        live = 0
+
+        def __del__(self):
+            Kept.live -= 1
+
+    def annotator(text):
+        Kept.live += 1
+        return Kept([{"i": 0, "text": str(Kept.live), "pos": "NOUN", "dep": "dep", "head": 0, "sent": 0, "ent": None}])
+
+    df = spark.createDataFrame([(k, "word " * 1000) for k in range(1000)], "id long, text string").coalesce(1)
+    live = [int(r.tokens[0].text) for r in knowledge.annotate(df, annotator=annotator).collect()]
+    assert len(live) == 1000 and max(live) <= 3 * SLICE_BYTES // 5000
+
+
+def test_zero_shot_scores_are_those_of_trigram_sets():
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    text = "There the others gather. ABABAB"
+    want = {x: round(len(grams(x.lower()) & grams(text.lower())) / max(1, len(grams(x.lower()))), 6) for x in ("the", "gathering", "BABA", "no", "")}
+    assert models.overlap_scores(text, list(want)) == want
+
+
+def test_turns_are_annotated_once(spark, sf):
+    for name in ("semantic_relations", "document_graph_edges", "document_graph_vertices"):
+        assert "EvalPython" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
